@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, mixing, sharding
+from . import bpe, descent, lines, mixing, sharding, sketch, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode_and_decode(table(spark, sf_dir, "documents"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -32,6 +40,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host,
@@ -85,10 +97,13 @@ SELECT doc_id, size, source_size, target,
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_minhash": op1_minhash,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_bpe": op4_bpe,
         "op6_sharding": op6_sharding,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
+        "op10_nearest": op10_nearest,
     }
 
 
