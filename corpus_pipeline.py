@@ -1,7 +1,63 @@
-"""The corpus pipeline."""
-STAGES = []
+"""A training-data pipeline over ``documents``: five stages, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
+again as the next one's docs. All but the last return the columns of ``documents``. ``run`` applies
+them one after the other, with each result in the shared checkpoint folder.
+
+The middle stages hash in ways that SQL does not, so there is no SQL for the whole; tests hold
+each stage and the run against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from townhall.llm import bpe, lines, mixing, sketch, toxicity
+from townhall.llm.common import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained on ``labels``, scores below the threshold."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that over a tenth of their source's documents (and ten) repeat."""
+    return lines.clean_documents(docs, ratio=0.1, least=10)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    return sketch.keep_one(docs, k=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight asks for."""
+    return mixing.mix(docs)
+
+
+def code(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the digest of their decoding."""
+    coded = bpe.encode_and_decode(docs)
+    return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("minhash_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", code),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs)
+    return docs

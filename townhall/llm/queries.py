@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, descent, lines, mixing, sharding, sketch, vectors
+from . import bpe, descent, lines, mixing, passages, sharding, sketch, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,10 +26,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.clean_pages(table(spark, sf_dir, "pages"))
     return done.select("page_id", "host", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -100,7 +108,9 @@ def queries() -> dict[str, Query]:
         "op1_minhash": op1_minhash,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_bpe": op4_bpe,
+        "op5_passages": op5_passages,
         "op6_sharding": op6_sharding,
+        "op7_toxicity": op7_toxicity,
         "op8_line_dedup": op8_line_dedup,
         "op9_mixing": op9_mixing,
         "op10_nearest": op10_nearest,
