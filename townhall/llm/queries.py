@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, descent, lines, mixing, passages, sharding, sketch, toxicity, vectors
+from . import bpe, descent, katz, lines, mixing, passages, sharding, sketch, toxicity, vectors
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"), katz.held_out(F.col("doc_id")))
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -106,6 +110,7 @@ SELECT doc_id, size, source_size, target,
 def queries() -> dict[str, Query]:
     return {
         "op1_minhash": op1_minhash,
+        "op2_katz": op2_katz,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_bpe": op4_bpe,
         "op5_passages": op5_passages,
