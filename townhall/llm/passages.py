@@ -37,6 +37,7 @@ LENGTH, GRAM = 50, 25
 BLOCK, SHARD_WORDS = 8192, 1_000_000
 #: The Bloom filter's largest size (16 MB), and bits a member should have.
 FILTER_BITS, MEMBER_BITS = 1 << 27, 16
+WORD_BYTES = 5
 _SHIFTS = (0, 32)
 _PLACE = U((1 << 28) - 1)
 
@@ -161,6 +162,17 @@ class FMIndex:
         return np.minimum.reduceat(rows, ends)[::2][back]
 
 
+def pack(h: np.ndarray) -> bytes:
+    """Word hashes at 40 bits each: fragments are only compared where a 64-bit anchor agrees."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // WORD_BYTES, 8), np.uint8)
+    out[:, :WORD_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, WORD_BYTES)
+    return out.view("<u8").reshape(-1)
+
+
 # ---- fragments -------------------------------------------------------------------------------------
 
 
@@ -252,8 +264,9 @@ def _pieces_at(documents: DataFrame, live: np.ndarray | None) -> DataFrame:
             doc, a, b, anchor = fragments(h, first)
             may = in_filter(sent.value, anchor)
             doc, a, b, anchor = doc[may], a[may], b[may], anchor[may]
-            rows = [h[first[d] + x : first[d] + y + LENGTH].tobytes() for d, x, y in zip(doc, a, b)]
-            digests = [hashlib.blake2b(r, digest_size=16).digest() for r in rows]
+            runs = [h[first[d] + x : first[d] + y + LENGTH] for d, x, y in zip(doc, a, b)]
+            digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in runs]
+            rows: list[bytes | None] = [pack(r) for r in runs]
             for i, d in enumerate(digests):  # a task sends the words of equal fragments once
                 if d in known:
                     rows[i] = None
@@ -278,7 +291,7 @@ def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]
             continue
         keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("anchor", "i", "j")], axis=1)
         new = np.concatenate([[last is not None and (keys[0] != last).any()], (keys[1:] != keys[:-1]).any(1)])
-        total = np.concatenate([[0], np.cumsum([len(w) // 8 for w in batch.column("words").to_pylist()])])
+        total = np.concatenate([[0], np.cumsum([len(w) // WORD_BYTES for w in batch.column("words").to_pylist()])])
         start = 0
         for at in np.flatnonzero(new).tolist():
             if size + total[at] - total[start] >= limit:
@@ -296,7 +309,7 @@ def _least_documents(shards: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, SHARD_WORDS):
-            texts = [np.frombuffer(w, U) for w in shard["words"].to_pylist()]
+            texts = [unpack(w) for w in shard["words"].to_pylist()]
             index = FMIndex(texts)
             text, start, lo, hi = index.windows(texts)
             low = index.least(lo, hi, shard["doc"].to_numpy())[np.lexsort((start, text))]
