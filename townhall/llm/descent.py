@@ -5,12 +5,12 @@ sampled by in-degree, those that name it) with their vectors, compares the neigh
 node with each other, and offers each the best ones met; a node keeps its ``K`` nearest. Rounds
 end when few lists change. The first lists come from blocks of a few sorted projection passes.
 
-A query walks from its own node: each round expands the nearest unexpanded nodes of its beam by
-two joins (node -> neighbours, neighbour -> vector), until none of the ``BEAM`` nearest is left to
-expand. What is shuffled per round follows queries x expansions x K, not the table's square; the
+A query walks from its own node: each round expands what is new among the nearest of its beam by
+two joins (node -> neighbours, neighbour -> vector), until none of the ``REST`` nearest is left to
+expand or after ``MOVES`` rounds. What is shuffled per round follows queries x expansions x K, not the table's square; the
 walks are small binary states, one row per query.
 
-Comparisons on the way use vectors at 8 bits a component; the beam's best are scored again in double
+Comparisons on the way use vectors at 16 bits a component; the beam's best are scored again in double
 precision on the original vectors. Copies of a vector are one node with its smallest ids, and are
 told apart at the end, so every copy can be a result and ties go to the smaller id.
 
@@ -32,9 +32,11 @@ from pyspark.sql.window import Window
 from .common import cut, grouped
 from .vectors import classes_of, is_single, sort_keys, unit, unpack
 
-K, REVERSE, OFFERS, ROUNDS, SETTLED = 20, 20, 8, 8, 0.02
-SEED_PASSES, SEED_BLOCK = 4, 64
-BEAM, EXPAND = 96, 24
+K, REVERSE, OFFERS, ROUNDS, SETTLED = 20, 24, 10, 4, 0.02
+SEED_PASSES, SEED_BLOCK = 8, 256
+#: Rounds are many and short: their tasks follow the number of nodes, not the shuffle's setting.
+TASK_NODES, LEAST_TASKS = 4000, 12
+BEAM, REST, MOVES = 352, 320, 7
 
 _LISTS = "rep long, ids binary, sims binary, fresh binary, changed int"
 
@@ -48,15 +50,15 @@ def _f4(packed: bytes) -> np.ndarray:
 
 
 def quantised(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as a float scale and one signed byte a component."""
+    """Unit vectors as a float scale and a signed 16-bit integer for each component."""
     top = np.abs(x).max(axis=1)
-    small = np.rint(x / top[:, None] * 127).astype(np.int8)
-    return [np.float32(t / 127).tobytes() + row.tobytes() for t, row in zip(top, small)]
+    small = np.rint(x / top[:, None] * 32767).astype("<i2")
+    return [np.float32(t / 32767).tobytes() + row.tobytes() for t, row in zip(top, small)]
 
 
 def dequantised(packed: list[bytes]) -> np.ndarray:
     raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+    return np.ascontiguousarray(raw[:, 4:]).view("<i2").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
 
 
 def _nodes(classes: DataFrame, single: bool) -> DataFrame:
@@ -66,7 +68,7 @@ def _nodes(classes: DataFrame, single: bool) -> DataFrame:
         for batch in batches:
             packed = batch.column("vector").to_pylist()
             small = [quantised(unit(unpack([p], single)))[0] for p in packed]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([len(s) - 4 for s in small], pa.int32()), pa.array(small, pa.binary())], ["rep", "dim", "small"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([(len(s) - 4) // 2 for s in small], pa.int32()), pa.array(small, pa.binary())], ["rep", "dim", "small"])
 
     return classes.select("rep", "vector").mapInArrow(run, "rep long, dim int, small binary")
 
@@ -112,7 +114,7 @@ def _seeds(classes: DataFrame, single: bool) -> DataFrame:
     return ordered.select("pass", "dim", "rep", "vector").mapInArrow(run, "rep long, ids binary, sims binary")
 
 
-def _merged(offers: DataFrame) -> DataFrame:
+def _merged(offers: DataFrame, tasks: int) -> DataFrame:
     """Lists of the K nearest from old lists (``old`` true) and offers, marking what is new."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +142,7 @@ def _merged(offers: DataFrame) -> DataFrame:
         arrays = [pa.array(a, pa.int64()), *(pa.array(c, pa.binary()) for c in rest), pa.array(n, pa.int32())]
         return pa.RecordBatch.from_arrays(arrays, ["rep", "ids", "sims", "fresh", "changed"])
 
-    dealt = offers.repartition("rep").sortWithinPartitions("rep")
+    dealt = offers.repartition("rep").coalesce(tasks).sortWithinPartitions("rep")
     return dealt.select("rep", "ids", "sims", "old").mapInArrow(run, _LISTS)
 
 
@@ -157,15 +159,15 @@ def _edges(lists: DataFrame) -> DataFrame:
     return lists.select("rep", "ids", "fresh").mapInArrow(run, "u long, v long, fresh boolean")
 
 
-def _both_ways(edges: DataFrame, turn: int) -> DataFrame:
+def _both_ways(edges: DataFrame, turn: int, tasks: int) -> DataFrame:
     """Edges and their reverses; a node named more than REVERSE times keeps a random share of those."""
     named = edges.groupBy("v").agg(F.count("*").alias("named"))
     draw: Column = F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
     back = edges.join(named, "v").filter(draw * F.col("named") < REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
-    return edges.unionByName(back).groupBy("u", "v").agg(F.max("fresh").alias("fresh"))
+    return edges.unionByName(back.coalesce(tasks)).groupBy("u", "v").agg(F.max("fresh").alias("fresh")).coalesce(tasks)
 
 
-def _round(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
+def _round(lists: DataFrame, nodes: DataFrame, turn: int, tasks: int) -> DataFrame:
     """Offers of one round: neighbours of one node compared with each other."""
 
     def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,24 +188,24 @@ def _round(lists: DataFrame, nodes: DataFrame, turn: int) -> DataFrame:
             yield _offer_batch(out)
 
     floor = lists.select("rep", "sims").mapInArrow(floors, "v long, floor double")
-    known = nodes.select(F.col("rep").alias("v"), "small").join(floor, "v")
-    dealt = _both_ways(_edges(lists), turn).join(known, "v").repartition("u").sortWithinPartitions("u")
+    known = nodes.select(F.col("rep").alias("v"), "small").join(floor, "v").coalesce(tasks)
+    dealt = _both_ways(_edges(lists), turn, tasks).join(known, "v").coalesce(tasks).repartition("u").coalesce(tasks).sortWithinPartitions("u")
     return dealt.select("u", "v", "fresh", "small", "floor").mapInArrow(run, "rep long, ids binary, sims binary")
 
 
-def build(classes: DataFrame, nodes: DataFrame, single: bool) -> DataFrame:
+def build(classes: DataFrame, nodes: DataFrame, single: bool, tasks: int) -> DataFrame:
     """The neighbour graph: rep, ids, sims (packed, nearest first)."""
-    lists = cut(_merged(_seeds(classes, single).withColumn("old", F.lit(False))))
+    lists = cut(_merged(_seeds(classes, single).withColumn("old", F.lit(False)), tasks))
     for turn in range(ROUNDS):
-        offers = _round(lists, nodes, turn).withColumn("old", F.lit(False))
-        lists = cut(_merged(lists.select("rep", "ids", "sims").withColumn("old", F.lit(True)).unionByName(offers)))
+        offers = _round(lists, nodes, turn, tasks).withColumn("old", F.lit(False))
+        lists = cut(_merged(lists.select("rep", "ids", "sims").withColumn("old", F.lit(True)).unionByName(offers), tasks))
         changed, size = lists.agg(F.sum("changed"), F.count("*")).first()
         if not size or changed <= SETTLED * K * size:
             break
     return lists
 
 
-def adjacency(lists: DataFrame) -> DataFrame:
+def adjacency(lists: DataFrame, tasks: int) -> DataFrame:
     """node, near (packed ids): neighbours both ways."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +214,7 @@ def adjacency(lists: DataFrame) -> DataFrame:
             a, b = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["node", "near"])
 
-    both = _both_ways(_edges(lists), -1).repartition("u").sortWithinPartitions("u", "v")
+    both = _both_ways(_edges(lists), -1, tasks).repartition("u").coalesce(tasks).sortWithinPartitions("u", "v")
     return both.select("u", "v").mapInArrow(run, "node long, near binary")
 
 
@@ -262,12 +264,12 @@ def _move(state: dict, came: list[dict]) -> tuple[tuple, np.ndarray]:
         done = np.concatenate([done, np.zeros(len(came), bool)])
     top = np.lexsort((ids, -sims))[:BEAM]
     ids, sims, done = ids[top], sims[top], done[top].copy()
-    ask = np.flatnonzero(~done)[:EXPAND]
+    ask = np.flatnonzero(~done[:REST])
     done[ask] = True
     return (state["q"], state["own"], ids.tobytes(), sims.astype(np.float32).tobytes(), done.tobytes(), state["seen"]), ids[ask]
 
 
-def walk(queries: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
+def walk(queries: DataFrame, near: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
     """q, ids: the packed beam of every query node after its search has come to rest."""
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,17 +281,19 @@ def walk(queries: DataFrame, near: DataFrame, nodes: DataFrame) -> DataFrame:
             if rows:
                 yield _out(rows)
 
-    state = cut(nodes.join(queries, "rep").select("rep", "small").mapInArrow(start, _STATE))
+    state = cut(nodes.join(queries, "rep").select("rep", "small").coalesce(tasks).mapInArrow(start, _STATE))
     blank = [F.lit(None).cast("binary").alias(c) for c in _NAMES[1:6]]
     steps = (
         (near.select(F.col("node").alias("ask"), "near"), _look),
         (nodes.select(F.col("rep").alias("ask"), F.col("small").alias("near")), _move),
     )
-    while not state.filter("ask IS NOT NULL").isEmpty():
+    for _ in range(MOVES):
+        if state.filter("ask IS NOT NULL").isEmpty():
+            break
         for found, step in steps:
-            came = state.filter("ask IS NOT NULL").select("q", "ask").join(found, "ask").select("q", *blank, "ask", "near")
+            came = state.filter("ask IS NOT NULL").select("q", "ask").join(found, "ask").select("q", *blank, "ask", "near").coalesce(tasks)
             own = state.filter("ask IS NULL").withColumn("near", F.lit(None).cast("binary"))
-            dealt = own.unionByName(came).repartition("q").sortWithinPartitions("q", "ask")
+            dealt = own.unionByName(came).repartition("q").coalesce(tasks).sortWithinPartitions("q", "ask")
             state = cut(dealt.mapInArrow(lambda batches, step=step: _walks(batches, step), _STATE))
     return state.filter("own IS NOT NULL").select("q", "ids")
 
@@ -330,10 +334,12 @@ def search(vectors: DataFrame, chosen: Column, k: int = 5) -> DataFrame:
     rows, classes = classes_of(vectors)
     named = rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "digest")
     nodes = cut(_nodes(classes, single))
-    lists = build(classes, nodes, single)
-    near = cut(adjacency(lists))
+    tasks = max(LEAST_TASKS, nodes.count() // TASK_NODES)
+    nodes = cut(nodes.coalesce(tasks))
+    lists = build(classes, nodes, single, tasks)
+    near = cut(adjacency(lists, tasks))
     asked = named.filter(chosen).join(classes.select("digest", "rep"), "digest").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
-    found = _pairs(walk(asked.select(F.col("q").alias("rep")).distinct(), near, nodes))
+    found = _pairs(walk(asked.select(F.col("q").alias("rep")).distinct(), near, nodes, tasks))
     left = classes.select(F.col("rep").alias("q"), F.col("vector").alias("left"))
     right = classes.select("rep", F.col("vector").alias("right"))
     scored = _scored(found.join(left, "q").join(right, "rep").select("q", "rep", "left", "right"), single)
