@@ -56,6 +56,23 @@ def round_even(c: Column, digits: int = 0) -> Column:
     return F.bround(c, digits)
 
 
+def round_exact(c: Column, digits: int = 2) -> Column:
+    """Halves to even, where a half is one only if the stored binary value is exactly that.
+
+    5.215 is stored a little below and rounds to 5.21, as Python rounds; decimal rounding sees the
+    shortest decimal and gives 5.22. The product's rounding error is recovered by splitting the
+    number into two halves of 26 bits.
+    """
+    scale = 10.0**digits
+    high = c * 134217729.0 - (c * 134217729.0 - c)
+    product = c * scale
+    error = (high * scale - product) + (c - high) * scale
+    low = F.floor(product)
+    over = (product - low - 0.5) + error
+    up = F.when(over > 0, 1).when(over < 0, 0).otherwise(low % 2)
+    return (low + up) / scale
+
+
 def round_up(c: Column, digits: int = 0) -> Column:
     """Halves toward plus infinity, as JavaScript rounds."""
     scale = 10.0**digits

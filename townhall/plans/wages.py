@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.semantics import safe_div
+from ..functions.semantics import round_exact, safe_div
 from ..operators.aggregates import bands
 from ..operators.series import index_to_base
 
@@ -62,7 +62,7 @@ def scenarios(wages: DataFrame, base_year: int = 2025) -> DataFrame:
         .when(F.col("option") == "C", (F.col("_frozen") - FREEZE) * (full / F.col("_frozen"))).otherwise(full * SHARE_D)
     )
     capped = F.least(offset, full * OFFSET_SHARE)
-    return grid.select("option", "year", "full", F.bround(capped, 2).alias("offset"), F.bround(full - capped, 2).alias("tipped"))
+    return grid.select("option", "year", "full", round_exact(capped, 2).alias("offset"), round_exact(full - capped, 2).alias("tipped"))
 
 
 def freeze_variants(wages: DataFrame) -> DataFrame:
@@ -72,9 +72,9 @@ def freeze_variants(wages: DataFrame) -> DataFrame:
     """
     a = scenarios(wages.filter(F.col("year") <= 2030)).filter("option = 'A'").select("year", F.col("tipped").alias("a"))
     before = F.lag("a").over(Window.orderBy("year"))
-    step = a.withColumn("step", F.bround(F.col("a") - before, 2))
-    last = step.filter("year = 2030").select(F.col("a").alias("a30"), F.bround(F.col("step") * STEP_GROWTH, 2).alias("s31"))
-    last = last.withColumn("s32", F.bround(F.col("s31") * STEP_GROWTH, 2))
+    step = a.withColumn("step", round_exact(F.col("a") - before, 2))
+    last = step.filter("year = 2030").select(F.col("a").alias("a30"), round_exact(F.col("step") * STEP_GROWTH, 2).alias("s31"))
+    last = last.withColumn("s32", round_exact(F.col("s31") * STEP_GROWTH, 2))
     spark = wages.sparkSession
     calendar = spark.range(2025, 2033).select(F.col("id").cast("int").alias("year"))
     variants = spark.createDataFrame(VARIANTS, "variant string, freeze_year int, level double, catch_up boolean")
@@ -85,7 +85,7 @@ def freeze_variants(wages: DataFrame) -> DataFrame:
     caught = F.coalesce(F.col("a"), F.col("a30") + F.col("s31") * (F.col("year") - 2030))
     tipped = (
         F.when(F.col("year") < F.col("freeze_year"), F.coalesce("a", "level")).when(F.col("year") <= 2028, F.col("level"))
-        .when(F.col("catch_up"), caught).otherwise(F.bround(resumed, 2))
+        .when(F.col("catch_up"), caught).otherwise(round_exact(resumed, 2))
     )
     return grid.select("variant", "year", tipped.alias("tipped"))
 

@@ -185,9 +185,9 @@ def semi_membership(spark, d):
     return t(spark, d, "orders").join(some, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def anti_membership(spark, d):
-    has = t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    has = t(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return t(spark, d, "customer").join(has, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -367,9 +367,9 @@ def rake_margins(spark, d):
     return out.select("c_custkey", r("weight", 8).alias("weight"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS k FROM lineitem) WHERE k = 1""")
+@query("""SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS k FROM lineitem) WHERE k = 1""")
 def dedup_keep_first(spark, d):
-    first = reshape.keep_first(t(spark, d, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber"])
+    first = reshape.keep_first(t(spark, d, "lineitem"), ["l_orderkey"], ["l_shipdate", "l_linenumber", "l_partkey"])
     return first.select("l_orderkey", "l_linenumber", "l_partkey")
 
 
@@ -380,9 +380,9 @@ def fallback_cascade(spark, d):
     return selection.fallback_cascade(docs, ["source"], [F.col("lang") == "es", F.col("lang") == "fr"], "all").select("doc_id")
 
 
-@query("SELECT o_orderpriority, year(o_orderdate)::INT AS year, round(median(o_totalprice), 2) AS median FROM orders GROUP BY 1, 2")
+@query("SELECT o_orderpriority, year(o_orderdate)::INT AS year, round(median(o_totalprice), 4) AS median FROM orders GROUP BY 1, 2")
 def median_resample_year(spark, d):
-    return series.median_by_year(t(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice").withColumn("median", r("median", 2))
+    return series.median_by_year(t(spark, d, "orders"), ["o_orderpriority"], "o_orderdate", "o_totalprice").withColumn("median", r("median", 4))
 
 
 @query("SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p / 100}), 3) AS p{p}" for p in (5, 25, 50, 75, 95)) + " FROM lineitem GROUP BY 1")
@@ -553,10 +553,20 @@ def chunked_documents(spark, d):
 
 
 _WAGES = ", ".join(f"({y}, {w}::DOUBLE)" for y, w in wages.PROJECTED)
+
+
+def _exact(x: str) -> str:
+    """SQL for rounding to cents by the stored binary value, halves to even."""
+    return (
+        f"(SELECT (l + CASE WHEN o > 0 THEN 1 WHEN o < 0 THEN 0 ELSE l % 2 END) / 100.0::DOUBLE FROM (SELECT floor(p) AS l, (p - floor(p) - 0.5::DOUBLE) + ((h * 100.0::DOUBLE - p) + (x - h) * 100.0::DOUBLE) AS o "
+        f"FROM (SELECT x, x * 100.0::DOUBLE AS p, x * 134217729.0::DOUBLE - (x * 134217729.0::DOUBLE - x) AS h FROM (SELECT {x} AS x))))"
+    )
+
+
 SCENARIOS = f"""WITH w(year, f) AS (VALUES {_WAGES}), o(option) AS (VALUES ('A'), ('B'), ('C'), ('D')),
 x AS (SELECT option, year, f, least(CASE option WHEN 'A' THEN 3.02::DOUBLE WHEN 'B' THEN 3.02::DOUBLE * (f / 16.82::DOUBLE)
   WHEN 'C' THEN CASE WHEN year <= 2029 THEN f - 13.80::DOUBLE ELSE (20.15::DOUBLE - 13.80::DOUBLE) * (f / 20.15::DOUBLE) END ELSE f * 0.20::DOUBLE END, f * 0.25::DOUBLE) AS off FROM w, o),
-s AS (SELECT option, year::INT AS year, f AS "full", round(off, 2) AS "offset", round(f - off, 2) AS tipped FROM x)
+s AS (SELECT option, year::INT AS year, f AS "full", {_exact("off")} AS "offset", {_exact("f - off")} AS tipped FROM x)
 """
 
 
@@ -579,16 +589,16 @@ def freeze_variants(spark, d):
 _SCHEDULE = ", ".join(f"({y}, {a}::DOUBLE, {b}::DOUBLE)" for y, a, b in wages.SCHEDULE)
 
 
-@query(f"""WITH w(year, f, tp) AS (VALUES {_SCHEDULE}) SELECT n_name, year::INT AS year, round(1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023), 4) AS rent,
-  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080, 6) AS needed,
-  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080 - f, 6) AS gap_full,
-  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080 - tp, 6) AS gap_tipped FROM nation, w""")
+@query(f"""WITH w(year, f, tp) AS (VALUES {_SCHEDULE}) SELECT n_name, year::INT AS year, round(1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023), 7) AS rent,
+  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080, 8) AS needed,
+  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080 - f, 8) AS gap_full,
+  round((1000 + n_nationkey * 10 * 1.035::DOUBLE ** (year - 2023)) * 12 / 0.30::DOUBLE / 2080 - tp, 8) AS gap_tipped FROM nation, w""")
 def affordability_gap(spark, d):
     schedule = wages.schedule(spark).select("year", "full", "tipped")
     grown = wages.grown_rent(F.col("n_nationkey") * 10.0, F.col("year"))
     rents = t(spark, d, "nation").crossJoin(schedule.select("year")).select("n_name", "year", (F.lit(1000) + grown).alias("rent"))
     out = wages.affordability(rents, schedule)
-    return out.select("n_name", "year", r("rent", 4).alias("rent"), *[r(c).alias(c) for c in ("needed", "gap_full", "gap_tipped")])
+    return out.select("n_name", "year", r("rent", 7).alias("rent"), *[r(c, 8).alias(c) for c in ("needed", "gap_full", "gap_tipped")])
 
 
 @query("""SELECT c_custkey, hours::DOUBLE AS hours, round((10 + c_custkey % 9) * hours * 52, 2) AS annual, round((10 + c_custkey % 9) * hours * 52.0::DOUBLE / ((15.15::DOUBLE + 6.99::DOUBLE) * 52), 6) AS break_even
