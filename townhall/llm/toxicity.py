@@ -2,7 +2,8 @@
 
 A text is read in overlapping windows of words, all of them. A word enters as the sum of two
 inputs: an embedding of the word itself, where training has seen it, and the mean of embeddings
-of its character trigrams (with marks for its start and end). Two gated recurrent layers read the
+of its character runs (three and five bytes, with marks for its start and end). Both tables begin
+with how far a word or run leans to label 1 in the sample, and training adds noise to the inputs. Two gated recurrent layers read the
 window in both directions; attention weighs the places, and one unit gives the window's logit.
 A document's logit is the largest of its windows', calibrated to a probability.
 
@@ -11,7 +12,7 @@ the id, hence the same ones on every run), windows chosen as multiple instances:
 the window that the network finds worst, of a clean one its worst or a random one. Label counts for
 the calibration are over all labelled rows. The model (a few MB, whatever the corpus) is broadcast.
 
-Nulls: null and empty texts are scored as one empty window. Labels other than 0 and 1 are not used;
+Nulls: texts without words, null ones too, score 0. Labels other than 0 and 1 are not used;
 without labels of both kinds every score is the share of toxic labels (0 without any). Only text is
 ever an input; other columns pass through ``score`` untouched.
 """
@@ -31,8 +32,12 @@ from .common import PIECE_BYTES, U, buffers, mix, pieces, word_hashes, words
 WINDOW, STRIDE = 32, 16
 WORD_DIM = 12
 HIDDEN, ATTEND = 8, 8
-GRAMS = 1 << 14
+GRAMS = 1 << 15
 SAMPLE, STEPS, REFRESH, BATCH, RATE = 1000, 280, 28, 128, 0.01
+#: Spread of the noise that training adds to inputs, against learning documents by heart.
+NOISE = 1.0
+#: Of the two tables: shrinkage at each step, and share of the learning rate.
+DECAY, TABLE_RATE = 0.01, {"word": 0.1, "gram": 0.1}
 #: Words that this many sampled documents hold get an embedding of their own.
 SEEN = 3
 THRESHOLD = 0.3
@@ -43,17 +48,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram buckets of each word, and where each word's begin."""
+    """Buckets of each word's runs of three and of five bytes, and where each word's begin."""
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum()), dtype=np.int64) + np.repeat(starts - first, lengths)
     b = data[at].astype(U)
     upper = (b >= U(65)) & (b <= U(90))
     b[upper] += U(32)
-    before, after = np.roll(b, 1), np.roll(b, -1)
-    before[first] = U(256)
-    after[first + lengths - 1] = U(257)
-    return (mix((before * U(512) + b) * U(512) + after) & U(GRAMS - 1)).astype(np.int64), first
+    last = first + lengths - 1
+    short = b.copy()
+    for k in range(2):  # a run of 3, then 5 bytes around each byte, with marks beyond the word's ends
+        before, after = np.roll(short, 1), np.roll(short, -1)
+        before[first], after[last] = U(256), U(257)
+        short = mix((before * U(0x9FB21C651E98DF25) + short) * U(0xD6E8FEB86659FD93) + after)
+        if k == 0:
+            three = short
+    both = np.stack([three, short], axis=1).reshape(-1)
+    return (both & U(GRAMS - 1)).astype(np.int64), 2 * first
 
 
 class Texts:
@@ -96,6 +107,15 @@ class Part:
     lengths = Texts.lengths
 
 
+def _leanings(hits: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """For each item, from the documents of either label that hold it: its log odds between the
+    labels in standard errors, without what chance explains."""
+    sizes = np.array([[(labels == 0).sum()], [(labels == 1).sum()]]) + 1.0
+    rates = np.log((hits + 0.5) / sizes)
+    z = (rates[1] - rates[0]) / np.sqrt((1 / (hits + 0.5)).sum(0))
+    return (np.sign(z) * np.maximum(np.abs(z) - 1.5, 0)).astype(np.float32)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -111,13 +131,29 @@ class Network:
         self.scale, self.shift = 1.0, 0.0
         self.p = {
             "word": np.zeros((len(known) + 1, WORD_DIM), np.float32),
-            "gram": (rng.standard_normal((GRAMS, WORD_DIM)) * 0.3).astype(np.float32),
+            "gram": (rng.standard_normal((GRAMS, WORD_DIM)) * 0.05).astype(np.float32),
             "in": draw(WORD_DIM, 6 * h), "in_b": np.zeros(6 * h, np.float32),
             "fwd": draw(h, 3 * h), "bwd": draw(h, 3 * h),
             "att": draw(2 * h, ATTEND), "att_b": np.zeros(ATTEND, np.float32), "att_v": draw(ATTEND),
             "out": draw(2 * h), "out_b": np.zeros(1, np.float32),
         }
 
+    def begin_with(self, texts: Texts, word_doc: np.ndarray, labels: np.ndarray) -> None:
+        """Start the tables' first dimension from how far words and runs lean to label 1."""
+        lean = _leanings(np.stack([np.bincount(word_doc[1][labels[word_doc[0]] == k], minlength=len(texts.hashes)) for k in (0, 1)]), labels)
+        ids = self.word_ids(texts.hashes)
+        known = ids < len(self.known)
+        self.p["word"][ids[known], 0] = lean[known]
+        hits = np.zeros((2, GRAMS))
+        for a in range(0, word_doc.shape[1], 50_000):  # sorted by document; few pairs at a time
+            doc, word = word_doc[:, a : a + 50_000]
+            n = texts.lengths()[word]
+            at = np.arange(n.sum()) + np.repeat(texts.begins[word] - (np.cumsum(n) - n), n)
+            pairs = np.unique(np.repeat(doc, n) * GRAMS + texts.grams[at])
+            for k in (0, 1):
+                hits[k] += np.bincount(pairs[labels[pairs // GRAMS] == k] % GRAMS, minlength=GRAMS)
+        self.p["gram"][:, 0] = _leanings(hits, labels)
+
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of the word table; the last, which stays zero, is for words not known."""
         at = np.searchsorted(self.known, hashes)
@@ -225,7 +261,10 @@ class Network:
     def scores(self, column: pa.Array) -> np.ndarray:
         if not len(column):
             return np.zeros(0)
-        return _sigmoid(self.scale * self.worst(Texts(column))[1].astype(float) + self.shift)
+        texts = Texts(column)
+        score = _sigmoid(self.scale * self.worst(texts)[1].astype(float) + self.shift)
+        wordless = texts.windows[texts.first_window, 0] == len(texts.hashes)
+        return np.where(wordless, 0.0, score)
 
 
 class Constant:
@@ -250,6 +289,7 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, steps:
     word_doc = np.unique(np.stack([t.doc[np.nonzero(real)[0]], t.windows[real]]), axis=1)
     seen = np.bincount(word_doc[1], minlength=len(t.hashes))
     net = Network(t.hashes[seen >= SEEN], seed)
+    net.begin_with(t, word_doc, labels)
     count = np.diff(np.append(t.first_window, len(t.doc)))
     docs = {k: np.flatnonzero(labels == k) for k in (0, 1)}
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
@@ -264,7 +304,9 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, steps:
             at = {1: worst[drawn[1]], 0: np.where(rng.random(BATCH // 2) < 0.5, worst[drawn[0]], at[0])}
         chosen, target = np.concatenate([at[1], at[0]]), np.repeat([1, 0], BATCH // 2)
         part, cache = Part(t, chosen), {}
-        logit = net.logits(net.inputs(part), part.windows, cache)
+        x = net.inputs(part)
+        x = x + (NOISE * rng.standard_normal(x.shape)).astype(np.float32)
+        logit = net.logits(x, part.windows, cache)
         grads = net.gradients(cache, ((_sigmoid(logit) - target) / BATCH).astype(np.float32), part)
         rate = RATE * min(1, step / 20) * (0.3 if step > steps * 0.8 else 1)
         for k, grad in grads.items():  # Adam; of the tables only the rows that the batch used
