@@ -56,6 +56,41 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+OP1_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 3], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(d, m) AS (SELECT x, x FROM e UNION SELECT e.y, r.m FROM r JOIN e ON r.d = e.x),
+c AS (SELECT d, min(m) AS m FROM r GROUP BY 1)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, t.doc_id) AS component_id, coalesce(m, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON d = t.doc_id
+"""
+
+OP3_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+n AS (SELECT x, count(*)::BIGINT AS n FROM e GROUP BY 1),
+r(d, m) AS (SELECT x, x FROM e UNION SELECT e.y, r.m FROM r JOIN e ON r.d = e.x),
+c AS (SELECT d, min(m) AS m FROM r GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(m, vec_id) AS component_id, coalesce(m, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN n ON x = vec_id LEFT JOIN c ON d = vec_id
+"""
+
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM t WHERE len(w) >= 50)),
+m AS (SELECT k, min(doc_id) AS least FROM g GROUP BY 1),
+h AS (SELECT DISTINCT doc_id, i + o AS j FROM (SELECT g.doc_id, i, unnest(range(0, 50)) AS o FROM g JOIN m ON g.k = m.k AND least < g.doc_id)),
+d AS (SELECT doc_id, list(j) AS gone FROM h GROUP BY 1),
+s AS (SELECT t.doc_id, w, coalesce(gone, []) AS gone FROM t LEFT JOIN d ON d.doc_id = t.doc_id),
+u AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda j: NOT list_contains(gone, j)) AS stay FROM s)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(stay))::BIGINT AS n_removed, sha256(array_to_string(list_transform(stay, lambda j: w[j]), ' ')) AS kept_sha256 FROM u
+"""
+
 OP8_SQL = r"""
 WITH p AS (
   SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)), '') AS host,
@@ -123,4 +158,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op5_passages": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
