@@ -10,11 +10,12 @@ nothing gives half a count to its unseen words; contexts never seen back off wit
 1. Word counts of the training texts: counted per task, summed by hash.
 2. Bigrams: every task folds its texts' bigrams into sorted, packed lists (context, word, word's
    count, training count, documents), dealt out by context. A context with more than ``HOT`` of all
-   tokens is spread over partitions by the following word as well. This exchange is the model's
-   partitioned table; it is written once and read twice.
+   tokens is spread over partitions by the following word as well. The shuffle's files are the
+   model's partitioned table: they are written once and read twice, as one RDD, since a second copy
+   in the checkpoint folder would double the disk. Lost ones are recomputed from the texts.
 3. The first reading counts how many bigrams occur r times, and adds up the spread contexts.
 4. The second derives discounts and backoff weights and evaluates all tokens of the bigrams it
-   holds; what comes back is one partial sum for each document and partition.
+   holds; what comes back is a packed list of partial sums for each piece of texts and partition.
 
 Word counts are looked up in a broadcast table only while that has at most ``VOCABULARY`` words
 (12 bytes each); beyond it, every document is joined with the counts of its own words.
@@ -32,18 +33,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, grouped, mix, pieces, text_hashes
+from .common import U, cut, grouped, mix, pieces, text_hashes, trim
 
 LARGE, HOT, VOCABULARY = 5, 0.01, 1 << 23
 START, END = U(0x5354415254), U(0x454E44)
 #: Tokens whose bigrams one partition should hold, and bytes of text folded together.
-PART_TOKENS, FOLD_BYTES = 4_000_000, 8 << 20
+PART_TOKENS, FOLD_BYTES = 1_000_000, 3 << 20
 #: Distinct words a task counts before it hands them on.
-HELD_WORDS = 1 << 21
+HELD_WORDS = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,6 +120,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 yield out()
                 held, count = held[:0], count[:0]
         yield out()
+        trim()
 
     return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -162,12 +164,11 @@ def _with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
     return keyed.join(known, "key", "left").drop("key")
 
 
-_FOLDED = "p int, blob binary, uid long, doc_id long, held boolean, n_tokens long, n_known long, base double, lower double"
+_FOLDED = "p int, piece long, docs boolean, blob binary"
 
 
-def _folded(texts: DataFrame, unigrams: Unigrams, table: tuple[np.ndarray, np.ndarray] | None, hot: list[int], parts: int) -> DataFrame:
-    """Packed bigrams dealt to partitions ``p``, and each document's sums over its own tokens."""
-    sent = texts.sparkSession.sparkContext.broadcast(table)
+def _folded(texts: DataFrame, unigrams: Unigrams, sent: Broadcast, hot: list[int], parts: int) -> DataFrame:
+    """Packed bigrams dealt to partitions ``p``, and packed sums of each piece's documents."""
     hot_words = np.sort(np.array(hot, np.int64).view(U))
 
     def counted(words: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
@@ -183,8 +184,8 @@ def _folded(texts: DataFrame, unigrams: Unigrams, table: tuple[np.ndarray, np.nd
         return np.where(known[at] == words, n[at], 0).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uid = TaskContext.get().partitionId() << 36
-        for batch in pieces(batches, "text", FOLD_BYTES):
+        start = TaskContext.get().partitionId() << 32
+        for piece, batch in enumerate(pieces(batches, "text", FOLD_BYTES), start):
             tokens, first = token_hashes(batch.column("text"))
             rows = batch.num_rows
             held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
@@ -192,8 +193,6 @@ def _folded(texts: DataFrame, unigrams: Unigrams, table: tuple[np.ndarray, np.nd
             count = counted(words, batch)
             per = lambda values: np.add.reduceat(values[index], first[:-1])
             known, base, lower = per((count > 0).astype(np.int64)), per(unigrams.base(count)), per(np.log10(unigrams.probability(count)))
-            uids = uid + np.arange(rows)
-            uid += rows
             context = np.empty_like(tokens)
             context[1:] = tokens[:-1]
             context[first[:-1]] = START
@@ -212,51 +211,83 @@ def _folded(texts: DataFrame, unigrams: Unigrams, table: tuple[np.ndarray, np.nd
             spread = np.isin(h, hot_words)
             deal[spread] = mix(deal[spread] + w[spread])
             p = (deal % U(parts)).astype(np.int64)
-            owner = np.repeat(p, held_in)
-            by, by_post = np.argsort(p, kind="stable"), np.argsort(owner, kind="stable")
-            ends, post_ends = np.searchsorted(p[by], np.arange(parts + 1)), np.searchsorted(owner[by_post], np.arange(parts + 1))
+            by = np.lexsort((h, p))  # a context's bigrams lie together
+            ahead = np.cumsum(held_in) - held_in
+            by_post = np.arange(len(doc_o)) - np.repeat(np.cumsum(held_in[by]) - held_in[by], held_in[by]) + np.repeat(ahead[by], held_in[by])
+            ends = np.searchsorted(p[by], np.arange(parts + 1))
+            post_ends = np.append(0, np.cumsum(held_in[by]))[ends]
             blobs, at_p = [], []
             for k in range(parts):
                 i, j = by[ends[k] : ends[k + 1]], by_post[post_ends[k] : post_ends[k + 1]]
                 if len(i):
-                    blobs.append(pack([h[i], w[i], n[i].astype("<u4"), trained[i].astype("<u4"), held_in[i].astype("<u4"), doc_o[j].astype("<u4"), times[j].astype("<u4"), uids]))
+                    blobs.append(pack(h[i], w[i], n[i], trained[i], held_in[i], doc_o[j], times[j]))
                     at_p.append(k)
-            none = lambda n, t: pa.nulls(n, t)
-            names = ["p", "blob", "uid", "doc_id", "held", "n_tokens", "n_known", "base", "lower"]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(at_p, pa.int32()), pa.array(blobs, pa.binary()), *[none(len(blobs), t) for t in kinds]], names)
+            ids = pa.array(batch.column("doc_id"))
+            sums = pack_documents(ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), held, np.diff(first), known, base, lower)
+            n = len(blobs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids % parts, pa.int32()), none(rows, pa.binary()), pa.array(uids), batch.column("doc_id"), batch.column("held"), pa.array(np.diff(first), pa.int64()), pa.array(known), pa.array(base), pa.array(lower)], names
+                [pa.array([*at_p, piece % parts], pa.int32()), pa.array([piece] * (n + 1), pa.int64()), pa.array([False] * n + [True]), pa.array([*blobs, sums], pa.binary())], ["p", "piece", "docs", "blob"]
             )
+        trim()
 
-    columns = ["doc_id", "text", "held"] + ["own"] * (table is None)
+    columns = ["doc_id", "text", "held"] + ["own"] * (sent.value is None)
     return texts.select(*columns).mapInArrow(run, _FOLDED)
 
 
-def pack(arrays: list[np.ndarray]) -> bytes:
+WORD_BYTES = 6
+
+
+def pack(h: np.ndarray, w: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Columns of bigrams that are sorted by context: each context once with its number of bigrams,
+    words at 48 bits (they are only compared within a context), the rest as it is; compressed."""
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    words = w.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :WORD_BYTES]
+    arrays = [h[new], np.diff(np.append(new, len(h))).astype("<u4"), words, *(a.astype("<u4") for a in rest)]
     head = np.array([len(a) for a in arrays], "<u4").tobytes()
     return head + zlib.compress(b"".join(a.tobytes() for a in arrays), 1)
 
 
-_TYPES = ("<u8", "<u8", "<u4", "<u4", "<u4", "<u4", "<u4", "<i8")
+_TYPES = ("<u8", "<u4", "V6", "<u4", "<u4", "<u4", "<u4", "<u4")
+_DOCUMENTS = ("<i8", "?", "?", "<i8", "<i8", "<f8", "<f8")
+
+
+def pack_documents(*columns: np.ndarray) -> bytes:
+    """Ids, whether there is one, held out or not, tokens, known tokens, base and unigram scores."""
+    return b"".join(c.astype(t).tobytes() for c, t in zip(columns, _DOCUMENTS))
+
+
+def unpack_documents(blob: bytes) -> list[np.ndarray]:
+    width = [np.dtype(t).itemsize for t in _DOCUMENTS]
+    n = len(blob) // sum(width)
+    ends = np.cumsum([0, *width]) * n
+    return [np.frombuffer(blob[a:b], t) for a, b, t in zip(ends, ends[1:], _DOCUMENTS)]
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
+    """The columns as ``pack`` got them."""
     sizes = np.frombuffer(blob, "<u4", len(_TYPES))
     raw, at, out = zlib.decompress(blob[4 * len(_TYPES) :]), 0, []
     for n, t in zip(sizes.tolist(), _TYPES):
         out.append(np.frombuffer(raw, t, n, at))
         at += n * np.dtype(t).itemsize
-    return out
+    words = np.zeros((len(out[2]), 8), np.uint8)
+    words[:, :WORD_BYTES] = out[2].view(np.uint8).reshape(-1, WORD_BYTES)
+    return [np.repeat(out[0], out[1]), words.view("<u8").reshape(-1), *out[3:]]
 
 
 class Bigrams:
     """One partition's bigrams, folded over all texts."""
 
     def __init__(self, blobs: list[bytes]):
-        parts = [unpack(b) for b in blobs]
-        h, w, n, trained, self.held_in = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        self.docs = [(p[7], p[5], p[6]) for p in parts]  # uids, places in them, times
+        columns: list[list[np.ndarray]] = [[] for _ in range(5)]
+        self.docs = []  # of each blob: places in its piece, times
+        while blobs:
+            *own, place, times = unpack(blobs.pop(0))
+            for column, values in zip(columns, own):
+                column.append(values.copy())  # a view would keep the whole blob
+            self.docs.append((place.copy(), times.copy()))
+        h, w, n, trained, self.held_in = (np.concatenate(c) for c in columns)
+        del columns
         order = np.lexsort((w, h))
         h, w = h[order], w[order]
         first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]))
@@ -287,52 +318,87 @@ def context_weights(sums: np.ndarray, factor: np.ndarray) -> tuple[np.ndarray, n
     return scale, np.where(total > 0, left / below, 1.0)
 
 
-def _first_reading(folded: DataFrame, unigrams: Unigrams, hot: list[int]) -> DataFrame:
-    """context (null: all), sums: bigrams by count, and partial sums of hot contexts."""
-    hot_words = np.sort(np.array(hot, np.int64).view(U))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["p"]):
-            b = Bigrams(group["blob"].to_pylist())
-            n = np.bincount(np.minimum(b.count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2].astype(float)
-            contexts = b.context[b.begin]
-            at = np.flatnonzero(np.isin(contexts, hot_words))
-            keys = [None, *contexts[at].view(np.int64).tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([n.tolist(), *b.sums(unigrams)[at].tolist()], pa.list_(pa.float64()))], ["context", "sums"])
-
-    return folded.mapInArrow(run, "context long, sums array<double>")
+def _parts(rows: Iterator) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The bigram rows of one shuffle partition, one ``p`` at a time: pieces and blobs."""
+    by: dict[int, tuple[list[int], list[bytes]]] = {}
+    for r in rows:
+        if not r.docs:
+            pieces_, blobs = by.setdefault(r.p, ([], []))
+            pieces_.append(r.piece)
+            blobs.append(bytes(r.blob))
+    for p in sorted(by):
+        yield by.pop(p)
+        trim()
 
 
-def _second_reading(folded: DataFrame, unigrams: Unigrams, factor: np.ndarray, hot: dict[int, np.ndarray]) -> DataFrame:
-    """uid, part: what the bigrams of a partition add to a document's unigram score."""
+def _first_reading(rows: Iterator, unigrams: Unigrams, hot: list[int]) -> Iterator[tuple[int | None, list[float]]]:
+    """(context, sums): bigrams by count (context None), and partial sums of hot contexts."""
+    hot_words = np.sort(np.array(hot, np.int64).view(U))
+    n, held = np.zeros(LARGE + 1), {}
+    for _, blobs in _parts(rows):
+        b = None  # the one before goes first
+        b = Bigrams(blobs)
+        n += np.bincount(np.minimum(b.count, LARGE + 2), minlength=LARGE + 3)[1 : LARGE + 2]
+        contexts, sums = b.context[b.begin], b.sums(unigrams)
+        for i in np.flatnonzero(np.isin(contexts, hot_words)).tolist():
+            key = int(contexts[i : i + 1].view(np.int64)[0])
+            held[key] = held.get(key, 0) + sums[i]
+    yield None, n.tolist()
+    yield from ((k, v.tolist()) for k, v in held.items())
+
+
+def _second_reading(rows: Iterator, unigrams: Unigrams, factor: np.ndarray, hot: dict[int, np.ndarray]) -> Iterator[tuple[int, bool, bytes]]:
+    """(piece, docs, blob): what the bigrams of a partition add to the piece's documents (packed
+    doubles by place), and the documents themselves."""
     hot_words = np.array(sorted(hot), np.int64)
+    passed: list[tuple[int, bool, bytes]] = []
+
+    def others() -> Iterator:
+        for r in rows:
+            if r.docs:
+                passed.append((r.piece, True, bytes(r.blob)))
+            else:
+                yield r
+
+    for pieces_, blobs in _parts(others()):
+        b = None  # the one before goes first
+        b = Bigrams(blobs)
+        sums, contexts = b.sums(unigrams), b.context[b.begin].view(np.int64)
+        for i in np.flatnonzero(np.isin(contexts, hot_words)).tolist():
+            sums[i] = hot[int(contexts[i])]
+        scale, weight = context_weights(sums, factor)
+        of = np.repeat(np.arange(len(b.begin)), np.diff(np.append(b.begin, len(b.context))))
+        with np.errstate(divide="ignore"):
+            direct = np.log10(factor[np.minimum(b.count, LARGE + 1)] * b.count * scale[of] / np.maximum(sums[of, -1], 1) / unigrams.probability(b.lower_count))
+        row = np.where(b.count > 0, direct, np.log10(weight[of]))[b.kind]
+        ends, at = np.cumsum(b.held_in), 0
+        for piece, (place, times) in zip(pieces_, b.docs):
+            stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + len(place))) + 1
+            values = np.repeat(row[at:stop], b.held_in[at:stop]) * times
+            at = stop
+            yield piece, False, np.bincount(place, values).tobytes()
+    yield from passed
+
+
+def _gathered(parts: DataFrame, tokens: int) -> DataFrame:
+    """Documents' rows from their pieces' packed sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["p"]):
-            b = Bigrams(group["blob"].to_pylist())
-            sums, contexts = b.sums(unigrams), b.context[b.begin].view(np.int64)
-            for i in np.flatnonzero(np.isin(contexts, hot_words)).tolist():
-                sums[i] = hot[int(contexts[i])]
-            scale, weight = context_weights(sums, factor)
-            of = np.repeat(np.arange(len(b.begin)), np.diff(np.append(b.begin, len(b.context))))
-            seen = b.count > 0
-            with np.errstate(divide="ignore"):
-                direct = np.log10(factor[np.minimum(b.count, LARGE + 1)] * b.count * scale[of] / np.maximum(sums[of, -1], 1) / unigrams.probability(b.lower_count))
-            gain = np.where(seen, direct, np.log10(weight[of]))
-            row, at = gain[b.kind], 0
-            ids, parts = [], []
-            ends = np.cumsum(b.held_in)
-            for uids, place, times in b.docs:
-                stop = np.searchsorted(ends, (ends[at - 1] if at else 0) + len(place)) + 1
-                values = np.repeat(row[at:stop], b.held_in[at:stop]) * times
-                at = int(stop)
-                total = np.bincount(place, values, len(uids))
-                used = np.bincount(place, minlength=len(uids)) > 0
-                ids.append(uids[used])
-                parts.append(total[used])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(parts))], ["uid", "part"])
-
-    return folded.mapInArrow(run, "uid long, part double")
+        for group in grouped(batches, ["piece"]):
+            of, blobs = group["docs"].to_pylist(), group["blob"].to_pylist()
+            ids, valid, held, n, known, base, lower = unpack_documents(blobs[of.index(True)])
+            score = lower.copy()
+            for docs, blob in zip(of, blobs):
+                if not docs:
+                    part = np.frombuffer(blob, "<f8")
+                    score[: len(part)] += part
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=~valid), pa.array(held), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens, np.int64)), pa.array(base), pa.array(score)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return parts.repartition("piece").sortWithinPartitions("piece", "blob").mapInArrow(run, schema)
 
 
 def score(documents: DataFrame, held: Column) -> DataFrame:
@@ -346,18 +412,16 @@ def score(documents: DataFrame, held: Column) -> DataFrame:
     table = _packed_counts(counts) if small else None
     source = texts if small else _with_counts(texts, counts)
     parts = max(1, -(-unigrams.tokens // PART_TOKENS))
-    folded = cut(_folded(source, unigrams, table, hot, parts).repartition(parts, "p").sortWithinPartitions("p"))
-    blobs = folded.filter("blob IS NOT NULL").select("p", "blob")
+    sent = documents.sparkSession.sparkContext.broadcast(table)
+    table_of = _folded(source, unigrams, sent, hot, parts).repartition(parts, "p").rdd
     n, sums = np.zeros(LARGE + 2), {}
-    for r in _first_reading(blobs, unigrams, hot).collect():  # a row for each partition and hot context
-        values = np.array(r.sums)
-        if r.context is None:
+    for context, values in table_of.mapPartitions(lambda rows: _first_reading(rows, unigrams, hot)).collect():
+        if context is None:  # a row for each partition, and one for each hot context in it
             n[1:] += values
         else:
-            sums[r.context] = sums.get(r.context, 0) + values
-    parts_of = _second_reading(blobs, unigrams, discounts(n), sums).groupBy("uid").agg(F.sum("part").alias("part"))
-    rows = folded.filter("blob IS NULL").select("uid", "doc_id", "held", "n_tokens", "n_known", "base", "lower")
-    return rows.join(parts_of, "uid", "left").select(
-        "doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(unigrams.tokens).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), (F.col("lower") + F.coalesce("part", F.lit(0.0))).alias("score"),
-    )
+            sums[context] = sums.get(context, 0) + np.array(values)
+    sent.unpersist()  # what is recomputed after a loss fetches it anew
+    factor = discounts(n)
+    second = table_of.mapPartitions(lambda rows: _second_reading(rows, unigrams, factor, sums))
+    found = documents.sparkSession.createDataFrame(second, "piece long, docs boolean, blob binary", verifySchema=False)
+    return _gathered(found, unigrams.tokens)
