@@ -7,6 +7,7 @@ object is made per word. Null texts are empty texts.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -60,6 +61,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def trim() -> None:
+    """Hand freed memory back to the system (where the C library can), so that a worker which lives
+    on does not keep its largest task's memory."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n + 1 offsets of its rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -131,10 +141,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Words that are hashed at once: the kernel's arrays take some 40 bytes for each of their bytes.
+HASH_WORDS = 1 << 17
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     """A 64-bit hash of each word; ``fold`` lower-cases A-Z."""
-    if not len(starts):
-        return np.zeros(0, U)
+    out = np.empty(len(starts), U)
+    for a in range(0, len(starts), HASH_WORDS):
+        out[a : a + HASH_WORDS] = _hashes(data, starts[a : a + HASH_WORDS], ends[a : a + HASH_WORDS], fold)
+    return out
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum()), dtype=np.int64)
