@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import PIECE_BYTES, U, buffers, mix, pieces, word_hashes, words
+from .common import PIECE_BYTES, U, buffers, mix, pieces, trim, word_hashes, words
 
 WINDOW, STRIDE = 32, 16
 WORD_DIM = 12
@@ -41,6 +41,8 @@ DECAY, TABLE_RATE = 0.01, {"word": 0.1, "gram": 0.1}
 #: Words that this many sampled documents hold get an embedding of their own.
 SEEN = 3
 THRESHOLD = 0.3
+#: Words whose character runs are looked up at once.
+INPUT_WORDS = 1 << 14
 
 
 def held_out(doc_id: Column) -> Column:
@@ -64,7 +66,7 @@ def _gram_buckets(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
         if k == 0:
             three = short
     both = np.stack([three, short], axis=1).reshape(-1)
-    return (both & U(GRAMS - 1)).astype(np.int64), 2 * first
+    return (both & U(GRAMS - 1)).astype(np.int32), 2 * first
 
 
 class Texts:
@@ -74,7 +76,7 @@ class Texts:
         data, offsets = buffers(column)
         starts, ends, first = words(data, offsets)
         h = word_hashes(data, starts, ends, fold=True)
-        self.hashes, one, self.index = np.unique(h, return_index=True, return_inverse=True)
+        self.hashes, one, index = np.unique(h, return_index=True, return_inverse=True)
         self.grams, self.begins = _gram_buckets(data, starts[one], ends[one]) if len(one) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         n = np.diff(first)
         count = 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE))
@@ -83,8 +85,8 @@ class Texts:
         place = np.arange(len(self.doc)) - self.first_window[self.doc]
         at = (first[:-1][self.doc] + place * STRIDE)[:, None] + np.arange(WINDOW)
         inside = at < first[1:][self.doc][:, None]
-        padded = np.append(self.index, len(self.hashes))
-        self.windows = np.where(inside, padded[np.minimum(at, len(self.index))], len(self.hashes))
+        padded = np.append(index, len(self.hashes))
+        self.windows = np.where(inside, padded[np.minimum(at, len(index))], len(self.hashes)).astype(np.int32)
 
 
     def lengths(self) -> np.ndarray:
@@ -149,7 +151,7 @@ class Network:
             doc, word = word_doc[:, a : a + 50_000]
             n = texts.lengths()[word]
             at = np.arange(n.sum()) + np.repeat(texts.begins[word] - (np.cumsum(n) - n), n)
-            pairs = np.unique(np.repeat(doc, n) * GRAMS + texts.grams[at])
+            pairs = np.unique(np.repeat(doc.astype(np.int64), n) * GRAMS + texts.grams[at])
             for k in (0, 1):
                 hits[k] += np.bincount(pairs[labels[pairs // GRAMS] == k] % GRAMS, minlength=GRAMS)
         self.p["gram"][:, 0] = _leanings(hits, labels)
@@ -164,8 +166,13 @@ class Network:
         """The input vector of each distinct word."""
         if not len(texts.hashes):
             return np.zeros((0, WORD_DIM), np.float32)
-        sums = np.add.reduceat(self.p["gram"][texts.grams], texts.begins, axis=0)
-        return self.p["word"][self.word_ids(texts.hashes)] + sums / texts.lengths()[:, None]
+        out = self.p["word"][self.word_ids(texts.hashes)]
+        ends = np.append(texts.begins, len(texts.grams))
+        for a in range(0, len(out), INPUT_WORDS):
+            b = min(a + INPUT_WORDS, len(out))
+            runs = self.p["gram"][texts.grams[ends[a] : ends[b]]]
+            out[a:b] += np.add.reduceat(runs, texts.begins[a:b] - ends[a], axis=0) / (ends[a + 1 : b + 1] - ends[a:b])[:, None]
+        return out
 
     def _read(self, x: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: list | None) -> np.ndarray:
         """One layer over time-major projected inputs: the states after each place."""
@@ -252,7 +259,7 @@ class Network:
         g["gram"] = rows, dgram
         return g
 
-    def worst(self, texts: Texts, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    def worst(self, texts: Texts, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
         """Every window's logit, and each document's largest."""
         x = self.inputs(texts)
         logits = np.concatenate([self.logits(x, texts.windows[a : a + block]) for a in range(0, len(texts.windows), block)] or [np.zeros(0)])
@@ -286,7 +293,8 @@ def fit(texts: pa.Array, labels: np.ndarray, prior: float, seed: int = 5, steps:
     rng = np.random.default_rng(seed)
     t = Texts(texts)
     real = t.windows < len(t.hashes)
-    word_doc = np.unique(np.stack([t.doc[np.nonzero(real)[0]], t.windows[real]]), axis=1)
+    pairs = np.unique(np.repeat(t.doc.astype(np.int64), real.sum(1)) * (len(t.hashes) + 1) + t.windows[real])
+    word_doc = np.stack([pairs // (len(t.hashes) + 1), pairs % (len(t.hashes) + 1)])
     seen = np.bincount(word_doc[1], minlength=len(t.hashes))
     net = Network(t.hashes[seen >= SEEN], seed)
     net.begin_with(t, word_doc, labels)
@@ -350,7 +358,11 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
     y = np.array([r._toxic for r in rows])
     if len(set(y.tolist())) < 2:
         return Constant(counts[1] / total)
-    return fit(pa.array([r.text for r in rows], pa.large_string()), y, counts[1] / total)
+    texts = pa.array([r.text for r in rows], pa.large_string())
+    del rows
+    model = fit(texts, y, counts[1] / total)
+    trim()
+    return model
 
 
 def score(documents: DataFrame, model: Network | Constant, text: str = "text") -> DataFrame:
