@@ -1,6 +1,8 @@
 """Embedding near-dedup and nearest neighbours against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from townhall.llm import descent, vectors
@@ -87,3 +89,32 @@ def test_nearest(spark):
         hits += len({v for _, v, _ in have} & {b for _, b in want})
         total += len(want)
     assert set(got) <= set(ids) and hits / total >= 0.95
+
+
+def crowded(n, dim=64, seed=4):
+    """Unit vectors: a third in a cone of mutual cosine 0.8, and pairs at cosine 0.901 in and out of it."""
+    rng = np.random.default_rng(seed)
+    out = rng.standard_normal((n, dim))
+    out /= np.linalg.norm(out, axis=1, keepdims=True)
+    axis = np.eye(dim)[0]
+    cone = np.arange(n) % 3 == 0
+    out[cone] = np.sqrt(0.8) * axis + np.sqrt(0.2) * out[cone]
+    out /= np.linalg.norm(out, axis=1, keepdims=True)
+    for i in range(0, n - 3, 24):
+        for x in (i, i + 1):
+            noise = rng.standard_normal(dim)
+            noise -= noise @ out[x] * out[x]
+            out[x + 3] = 0.901 * out[x] + np.sqrt(1 - 0.901**2) * noise / np.linalg.norm(noise)
+    return out.astype(np.float32)
+
+
+@pytest.mark.parametrize("n", [3000, 15000])
+def test_no_link_is_lost_in_a_crowd(spark, n):
+    x = crowded(n)
+    data = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))})
+    got = vectors.near_duplicates(spark.createDataFrame(data)).toPandas().sort_values("vec_id")
+    wide = x.astype(float)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    want = np.array([np.count_nonzero(wide @ v >= 0.9) - 1 for v in wide])
+    assert want.sum() >= n // 12
+    assert (got.n_links.to_numpy() == want).all()

@@ -1,19 +1,18 @@
-"""Embedding near-dedup by sorted projection passes.
-
-In each pass all vectors stand in lexicographic order of concatenated random hashes (sign bits of
-random projections); every vector is compared with the next ``WINDOW`` ones, and verified pairs
-are united across passes. Equal vectors are one class from the start, so copies never fill a
-window. A pass is one range-partitioned sort; the rows at each partition's edges are compared
-across it in a second, small step.
-
-The components so found are then counted exactly: all members of a component are compared in
-blocks, so a window never limits a link count. Two vectors at cosine 0.9 stand within a window of
-one of the passes with probability 0.99 at 5e4 vectors and far above for closer ones; PASSES and
-WINDOW are the parameters to raise for more.
-
-Cosines are computed in double precision on the original vectors. Vectors that are null, zero or
-hold null or non-finite components link with nothing. Vectors of different lengths never link.
-Empty tables give empty results; other columns are not read.
+"""Embedding near-dedup by comparing all pairs of vectors, block by block.
+
+Equal vectors are one class with a count of copies. Classes are dealt to blocks by a hash of their
+smallest id, and every pair of blocks is one group of a task, so each class is sent to every block
+once and no pair is left out, however many vectors there are and however crowded they lie. A task
+gives, for each class, the number of rows it links with, and a spanning forest of its links (never
+the pairs themselves), from which the components follow.
+
+The work is the square of the number of classes: a fixed number of multiplications for a pair. The
+README has measured figures.
+
+Products are taken in single precision; those within its error bound of the threshold are decided
+in double precision on the original vectors. Vectors that are null, zero or hold null or non-finite
+components link with nothing. Vectors of different lengths never link. Empty tables give empty
+results; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, grouped
 from .graph import components
 
-PASSES, WINDOW, BITS, SEED = 24, 32, 48, 11
-#: Members of a component that are compared as one block.
-BLOCK = 2048
+BITS, SEED = 48, 11
+#: Classes and bytes of a block at most, and the fewest blocks, so that small tables are spread too.
+BLOCK, BLOCK_BYTES, LEAST_BLOCKS = 65536, 16 << 20, 8
+#: Vectors that are multiplied at once; rows that a task is worth, and the fewest tasks.
+TILE, TASK_ROWS, LEAST_TASKS = 1024, 1 << 16, 36
 
 
 def parsed(column: pa.Array) -> list[np.ndarray | None]:
@@ -119,119 +121,106 @@ def sort_keys(classes: DataFrame, single: bool, passes: int) -> DataFrame:
     return classes.select("rep", "vector").mapInArrow(run, "rep long, pass int, key long, vector binary")
 
 
-def window_links(passes: np.ndarray, reps: np.ndarray, packed: list[bytes], single: bool, window: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of rows in sorted order that connect all that the windows connect."""
-    a, b = [], []
-    lengths = np.array([len(p) for p in packed])
-    for length in np.unique(lengths):
-        at = np.flatnonzero(lengths == length)
-        x, p, r = unit(unpack([packed[i] for i in at], single)), passes[at], reps[at]
-        near = lambda o: (np.einsum("ij,ij->i", x[:-o], x[o:]) >= least) & (p[:-o] == p[o:])
-        if len(at) < 2:
-            continue
-        chained = near(1)
-        run = np.cumsum(np.concatenate([[True], ~chained]))
-        a.append(r[:-1][chained])
-        b.append(r[1:][chained])
-        for o in range(2, min(window, len(at) - 1) + 1):
-            hit = np.flatnonzero(near(o))
-            hit = hit[run[hit] != run[hit + o]]
-            if len(hit):
-                _, one = np.unique(np.stack([run[hit], run[hit + o]]), axis=1, return_index=True)
-                a.append(r[hit[one]])
-                b.append(r[hit[one] + o])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def _pass_links(ordered: DataFrame, single: bool, window: int, least: float) -> DataFrame:
-    """Pairs within each partition, and (where a, b are null) the rows at its edges."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        head: pa.Table | None = None
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("pid", pa.int32()), ("tail", pa.bool_()), ("rep", pa.int64()), ("pass", pa.int32()), ("vector", pa.binary())])
-
-        def edge(rows: pa.Table, tail: bool) -> pa.RecordBatch:
-            n = rows.num_rows
-            none = pa.nulls(n, pa.int64())
-            return pa.Table.from_arrays([none, none, rows["pid"], pa.array([tail] * n), rows["rep"], rows["pass"], rows["vector"]], schema=schema).combine_chunks().to_batches()[0]
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                rows = pa.Table.from_batches([batch.slice(k, 4096)])
-                head = rows.slice(0, window) if head is None else head if head.num_rows == window else pa.concat_tables([head, rows]).slice(0, window)
-                joined = rows if held is None else pa.concat_tables([held, rows])
-                a, b = window_links(joined["pass"].to_numpy(), joined["rep"].to_numpy(), joined["vector"].to_pylist(), single, window, least)
-                if len(a):
-                    empty = [pa.nulls(len(a), t) for t in (pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary())]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *empty], schema=schema)
-                held = joined.slice(max(0, joined.num_rows - window))
-        if held is not None:
-            yield edge(head, False)
-            yield edge(held, True)
-
-    return ordered.mapInArrow(run, "a long, b long, pid int, tail boolean, rep long, pass int, vector binary")
-
-
-def _edge_links(edges: DataFrame, single: bool, window: int, least: float) -> DataFrame:
-    """Pairs between the tail of each partition and the heads that follow it within a window."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["gap"]):
-            a, b = window_links(group["pass"].to_numpy(), group["rep"].to_numpy(), group["vector"].to_pylist(), single, window, least)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    gap = F.col("pid") + F.when(F.col("tail"), 1).otherwise(0)
-    dealt = edges.withColumn("gap", gap.cast("int")).withColumn("late", ~F.col("tail")).repartition("gap").sortWithinPartitions("gap", "late", "pass", "key", "rep")
-    return dealt.select("gap", "pass", "rep", "vector").mapInArrow(run, "a long, b long")
+def slack(dim: int) -> float:
+    """More than the error of a product of two unit vectors in single precision."""
+    return (dim + 4) * 2.0**-23
 
 
-def pass_links(classes: DataFrame, single: bool, least: float, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
-    """(a, b) links between class representatives found by the sorted passes."""
-    keyed = sort_keys(classes, single, passes)
-    ordered = cut(keyed.repartitionByRange("pass", "key", "rep").sortWithinPartitions("pass", "key", "rep"))
-    numbered = ordered.select("rep", "pass", "vector", F.spark_partition_id().alias("pid"))
-    found = cut(_pass_links(numbered, single, window, least))
-    keys = ordered.select("rep", "pass", "key")
-    edges = found.filter("a IS NULL").drop("a", "b").join(keys, ["rep", "pass"])
-    return found.filter("a IS NOT NULL").select("a", "b").union(_edge_links(edges, single, window, least))
+def products(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines in double precision of the pairs (a, b) of unit vectors."""
+    out = np.empty(len(a))
+    step = max(1, (1 << 21) // x.shape[1])
+    for k in range(0, len(a), step):
+        out[k : k + step] = np.einsum("ij,ij->i", x[a[k : k + step]], y[b[k : k + step]])
+    return out
 
 
-def _counts(members: DataFrame, single: bool, least: float) -> DataFrame:
-    """rep, links: for each member of a component and each block, the linked other rows."""
+def near_pairs(x: np.ndarray, y: np.ndarray | None, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair (of x, of y) of unit vectors at ``least`` or more, by tiles; x with itself without y."""
+    other = x if y is None else y
+    error = slack(x.shape[1])
+    left, right = x.astype(np.float32), other.astype(np.float32)
+    for i in range(0, len(x), TILE):
+        for j in range(i if y is None else 0, len(other), TILE):
+            s = left[i : i + TILE] @ right[j : j + TILE].T
+            a, b = np.nonzero(s >= least - error)
+            if y is None and i == j:
+                a, b = a[a < b], b[a < b]
+            if not len(a):
+                continue
+            hit = s[a, b] >= least + error
+            close = np.flatnonzero(~hit)
+            hit[close] = products(x, other, a[close] + i, b[close] + j) >= least
+            if hit.any():
+                yield a[hit] + i, b[hit] + j
+
+
+def _roots(top: np.ndarray, a: np.ndarray) -> np.ndarray:
+    a = top[a]
+    while (top[a] != a).any():
+        a = top[a]
+    return a
+
+
+def forest(top: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those of the pairs that join what is apart in ``top``, which is changed to hold them."""
+    while len(a):
+        u, v = _roots(top, a), _roots(top, b)
+        apart = u != v
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        high, low = np.maximum(u, v), np.minimum(u, v)
+        order = np.lexsort((low, high))
+        one = order[np.unique(high[order], return_index=True)[1]]
+        top[high[one]] = low[one]
+        yield a[one], b[one]
+
+
+def _block_links(blocks: DataFrame, single: bool, least: float) -> DataFrame:
+    """(a, null, links): rows of the other block that a links with; (a, b, null): links of a forest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["component", "i", "j"]):
-            reps, copies, own = (group[c].to_numpy() for c in ("rep", "copies", "own"))
+        for group in grouped(batches, ["i", "j"]):
             i, j = group["i"][0].as_py(), group["j"][0].as_py()
-            x = unit(unpack(group["vector"].to_pylist(), single))
-            at, other = own == i, own == j
-            near = x[at] @ x[other].T >= least
-            if i == j:
-                np.fill_diagonal(near, False)
-                out = [(reps[at], near @ copies[at])]
-            else:
-                out = [(reps[at], near @ copies[other]), (reps[other], near.T @ copies[at])]
-            for r, n in out:
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(n.astype(np.int64))], ["rep", "links"])
-
-    return members.mapInArrow(run, "rep long, links long")
-
-
-def near_duplicates(vectors: DataFrame, least: float = 0.9, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+            sizes = pc.binary_length(group["vector"]).to_numpy()
+            for size in np.unique(sizes):
+                part = group.filter(pa.array(sizes == size))
+                own, reps, copies = (part[c].to_numpy() for c in ("own", "rep", "copies"))
+                x = unit(unpack(part["vector"].to_pylist(), single))
+                at = np.flatnonzero(own == i)
+                to = at if i == j else np.flatnonzero(own == j)
+                top, links, edges = np.arange(len(x)), np.zeros(len(x)), []
+                for a, b in near_pairs(x[at], None if i == j else x[to], least):
+                    a, b = at[a], to[b]
+                    links += np.bincount(a, copies[b], len(x)) + np.bincount(b, copies[a], len(x))
+                    edges += forest(top, a, b)
+                some = np.flatnonzero(links)
+                if len(some):
+                    a, b = (np.concatenate(e) for e in zip(*edges))
+                    none = pa.nulls(len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[some]), none, pa.array(links[some].astype(np.int64))], ["a", "b", "links"])
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[a]), pa.array(reps[b]), pa.nulls(len(a), pa.int64())], ["a", "b", "links"])
+
+    return blocks.mapInArrow(run, "a long, b long, links long")
+
+
+def all_links(classes: DataFrame, single: bool, least: float) -> DataFrame:
+    """The links of all pairs of ``classes``, as counts and forests (see ``_block_links``)."""
+    n, size = classes.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("vector")), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK), -(-size // BLOCK_BYTES))
+    tasks = min(blocks * (blocks + 1) // 2, max(LEAST_TASKS, n * blocks // TASK_ROWS))
+    dealt = classes.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int"))
+    spread = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    spread = spread.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}).select("i", "j", "own", "rep", "copies", "vector")
+    return _block_links(spread.repartition(tasks, "i", "j").sortWithinPartitions("i", "j"), single, least)
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row for each row of ``vectors``."""
     single = is_single(vectors)
     rows, classes = classes_of(vectors)
-    part = components(pass_links(classes, single, least, passes, window)).select(F.col("id").alias("rep"), "component")
-    members = cut(classes.join(part, "rep").select("rep", "copies", "vector", "component"))
-    blocks = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = members.join(blocks, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    spread = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    spread = spread.withColumns({"i": F.least("own", "x"), "j": F.greatest("own", "x")}).select("component", "i", "j", "own", "rep", "copies", "vector")
-    sorted_ = spread.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "rep")
-    counted = _counts(sorted_, single, least).groupBy("rep").agg(F.sum("links").alias("others"))
+    found = cut(all_links(classes, single, least))
+    part = components(found.filter("b IS NOT NULL")).select(F.col("id").alias("rep"), "component")
+    counted = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))
     known = classes.select("digest", "rep", "copies").join(part, "rep", "left").join(counted, "rep", "left")
     known = known.select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component"))
     out = rows.select("vec_id", "digest").join(known, "digest", "left")
