@@ -118,3 +118,15 @@ def test_no_link_is_lost_in_a_crowd(spark, n):
     want = np.array([np.count_nonzero(wide @ v >= 0.9) - 1 for v in wide])
     assert want.sum() >= n // 12
     assert (got.n_links.to_numpy() == want).all()
+
+
+@pytest.mark.parametrize("n", [20000, 120000])
+def test_no_neighbour_is_lost_in_a_large_table(spark, n):
+    x = np.random.default_rng(6).standard_normal((n, 64)).astype(np.float32)
+    data = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})
+    got = descent.search(spark.createDataFrame(data), F.col("vec_id") % (n // 100) == 0).toPandas().sort_values(["query_id", "rank"])
+    wide = x.astype(float)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    score = wide[:: n // 100] @ wide.T
+    score[np.arange(100), np.arange(0, n, n // 100)] = -2
+    assert got.vec_id.to_list() == np.argsort(-score, axis=1)[:, :5].ravel().tolist()

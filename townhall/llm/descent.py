@@ -1,18 +1,15 @@
-"""Approximate nearest neighbours: a graph by NN-descent, searched greedily.
+"""Nearest neighbours: every query is compared with every vector, block by block.
 
-The graph's nodes are the distinct vectors. Each round joins every node's neighbours (its own and,
-sampled by in-degree, those that name it) with their vectors, compares the neighbours of one
-node with each other, and offers each the best ones met; a node keeps its ``K`` nearest. Rounds
-end when few lists change. The first lists come from blocks of a few sorted projection passes.
+Queries and distinct vectors are dealt to blocks, and every pair of a block of queries and one of
+vectors is one group of a task, which gives the nearest of its vectors for each of its queries;
+the nearest of those are the result. No neighbour is missed, however many vectors there are. The
+work is queries x vectors, a fixed number of multiplications for each; the README has measured
+figures. (An earlier form walked a graph made by NN-descent; the module keeps its name.)
 
-A query walks from its own node: each round expands what is new among the nearest of its beam by
-two joins (node -> neighbours, neighbour -> vector), until none of the ``REST`` nearest is left to
-expand or after ``MOVES`` rounds. What is shuffled per round follows queries x expansions x K, not the table's square; the
-walks are small binary states, one row per query.
-
-Comparisons on the way use vectors at 16 bits a component; the beam's best are scored again in double
-precision on the original vectors. Copies of a vector are one node with its smallest ids, and are
-told apart at the end, so every copy can be a result and ties go to the smaller id.
+Products are taken in single precision; what lies within their error bound of the nearest is
+scored in double precision on the original vectors. Copies of a vector are one class with its
+smallest ids, and are told apart at the end, so every copy can be a result and ties go to the
+smaller id.
 
 Vectors that are null, zero or hold null or non-finite components take no part, as query or as
 candidate. Vectors of other lengths than the query's are no candidates. Empty tables give empty
@@ -25,300 +22,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, grouped
-from .vectors import classes_of, is_single, sort_keys, unit, unpack
-
-K, REVERSE, OFFERS, ROUNDS, SETTLED = 20, 24, 10, 4, 0.02
-SEED_PASSES, SEED_BLOCK = 8, 256
-#: Rounds are many and short: their tasks follow the number of nodes, not the shuffle's setting.
-TASK_NODES, LEAST_TASKS = 4000, 12
-BEAM, REST, MOVES = 352, 320, 7
-
-_LISTS = "rep long, ids binary, sims binary, fresh binary, changed int"
-
-
-def _i8(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.int64)
-
-
-def _f4(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.float32)
-
-
-def quantised(x: np.ndarray) -> list[bytes]:
-    """Unit vectors as a float scale and a signed 16-bit integer for each component."""
-    top = np.abs(x).max(axis=1)
-    small = np.rint(x / top[:, None] * 32767).astype("<i2")
-    return [np.float32(t / 32767).tobytes() + row.tobytes() for t, row in zip(top, small)]
-
-
-def dequantised(packed: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    return np.ascontiguousarray(raw[:, 4:]).view("<i2").astype(np.float32) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
-
-
-def _nodes(classes: DataFrame, single: bool) -> DataFrame:
-    """rep, dim, small (the quantised unit vector)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = batch.column("vector").to_pylist()
-            small = [quantised(unit(unpack([p], single)))[0] for p in packed]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([(len(s) - 4) // 2 for s in small], pa.int32()), pa.array(small, pa.binary())], ["rep", "dim", "small"])
-
-    return classes.select("rep", "vector").mapInArrow(run, "rep long, dim int, small binary")
-
-
-def _offers(ids: np.ndarray, x: np.ndarray, floor: np.ndarray, fresh: np.ndarray | None) -> Iterator[tuple[int, bytes, bytes]]:
-    """For each member, the nearest other members that beat its floor (one of the two is fresh)."""
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    if fresh is not None:
-        sims[~fresh[:, None] & ~fresh[None, :]] = -2
-    n = min(OFFERS if fresh is not None else K, len(ids) - 1)
-    if n < 1:
-        return
-    best = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-    value = np.take_along_axis(sims, best, 1)
-    good = value > np.maximum(floor, -1.5)[:, None]
-    for i in np.flatnonzero(good.any(1)):
-        yield int(ids[i]), ids[best[i][good[i]]].tobytes(), value[i][good[i]].astype(np.float32).tobytes()
-
-
-def _offer_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    a, b, c = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary()), pa.array(c, pa.binary())], ["rep", "ids", "sims"])
-
-
-def _seeds(classes: DataFrame, single: bool) -> DataFrame:
-    """First offers: the nearest within blocks of consecutive rows of each sorted pass."""
-    keyed = sort_keys(classes, single, SEED_PASSES).withColumn("dim", F.octet_length("vector"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in grouped(batches, ["pass", "dim"]):
-            n = group.num_rows
-            cuts = [*range(0, max(1, n - SEED_BLOCK // 2), SEED_BLOCK), n]
-            out: list[tuple[int, bytes, bytes]] = []
-            for a, b in zip(cuts, cuts[1:]):
-                part = group.slice(a, b - a)
-                x = unit(unpack(part["vector"].to_pylist(), single)).astype(np.float32)
-                out += _offers(part["rep"].to_numpy(), x, np.full(len(x), -2.0), None)
-            if out:
-                yield _offer_batch(out)
-
-    ordered = keyed.repartitionByRange("pass", "dim", "key", "rep").sortWithinPartitions("pass", "dim", "key", "rep")
-    return ordered.select("pass", "dim", "rep", "vector").mapInArrow(run, "rep long, ids binary, sims binary")
-
-
-def _merged(offers: DataFrame, tasks: int) -> DataFrame:
-    """Lists of the K nearest from old lists (``old`` true) and offers, marking what is new."""
+from .vectors import BLOCK, BLOCK_BYTES, LEAST_TASKS, TASK_ROWS, classes_of, is_single, products, slack, unit, unpack
+
+#: Queries of a block at most, and the fewest blocks of vectors, so that small tables are spread too.
+QUERY_BLOCK, LEAST_BLOCKS = 8192, 24
+#: Queries and vectors that are multiplied at once.
+TILE, SPAN = 512, 4096
+
+
+def nearest(queries: np.ndarray, x: np.ndarray, reps: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, rep, score): the ``k`` nearest of the unit vectors x for each query, by tiles."""
+    error = slack(x.shape[1])
+    left, right = queries.astype(np.float32), x.astype(np.float32)
+    for i in range(0, len(queries), TILE):
+        n = min(TILE, len(queries) - i)
+        floor = np.full(n, -np.inf)
+        q, at, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for j in range(0, len(x), SPAN):
+            s = left[i : i + n] @ right[j : j + SPAN].T
+            if j == 0 and s.shape[1] > k:
+                floor = np.partition(s, -k, axis=1)[:, -k].astype(float) - error
+            a, b = np.nonzero(s >= (floor - error).astype(np.float32)[:, None])
+            if not len(a):
+                continue
+            q, at = np.concatenate([q, a]), np.concatenate([at, b + j])
+            score = np.concatenate([score, products(queries, x, a + i, b + j)])
+            order = np.lexsort((reps[at], -score, q))
+            first = np.searchsorted(q[order], np.arange(n))
+            order = order[np.arange(len(order)) - first[q[order]] < k]
+            q, at, score = q[order], at[order], score[order]
+            full = np.flatnonzero(np.bincount(q, minlength=n) == k)
+            floor[full] = score[np.searchsorted(q, full, "right") - 1]
+        yield q + i, reps[at], score
+
+
+def _block_nearest(blocks: DataFrame, single: bool, k: int) -> DataFrame:
+    """q, rep, score: the ``k`` nearest of a block's vectors for each of its queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, bytes, bytes, bytes, int]] = []
-        for group in grouped(batches, ["rep"]):
-            kinds = group["old"].to_pylist()
-            ids = [_i8(p) for p in group["ids"].to_pylist()]
-            sims = np.concatenate([_f4(p) for p in group["sims"].to_pylist()])
-            new = np.concatenate([np.full(len(i), not k) for i, k in zip(ids, kinds)])
-            flat = np.concatenate(ids)
-            order = np.lexsort((new, flat))
-            flat, sims, new = flat[order], sims[order], new[order]
-            one = np.concatenate([[True], flat[1:] != flat[:-1]])
-            flat, sims, new = flat[one], sims[one], new[one]
-            top = np.lexsort((flat, -sims))[:K]
-            out.append((group["rep"][0].as_py(), flat[top].tobytes(), sims[top].tobytes(), new[top].tobytes(), int(new[top].sum())))
-            if len(out) >= 2000:
-                yield batch_of(out)
-                out = []
-        if out:
-            yield batch_of(out)
-
-    def batch_of(rows):
-        a, *rest, n = zip(*rows)
-        arrays = [pa.array(a, pa.int64()), *(pa.array(c, pa.binary()) for c in rest), pa.array(n, pa.int32())]
-        return pa.RecordBatch.from_arrays(arrays, ["rep", "ids", "sims", "fresh", "changed"])
-
-    dealt = offers.repartition("rep").coalesce(tasks).sortWithinPartitions("rep")
-    return dealt.select("rep", "ids", "sims", "old").mapInArrow(run, _LISTS)
-
-
-def _edges(lists: DataFrame) -> DataFrame:
-    """u, v, fresh for every neighbour v of u."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [_i8(p) for p in batch.column("ids").to_pylist()]
-            fresh = np.frombuffer(b"".join(batch.column("fresh").to_pylist()), bool)
-            u = np.repeat(batch.column("rep").to_numpy(), [len(i) for i in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.concatenate([np.zeros(0, np.int64), *ids])), pa.array(fresh)], ["u", "v", "fresh"])
-
-    return lists.select("rep", "ids", "fresh").mapInArrow(run, "u long, v long, fresh boolean")
-
-
-def _both_ways(edges: DataFrame, turn: int, tasks: int) -> DataFrame:
-    """Edges and their reverses; a node named more than REVERSE times keeps a random share of those."""
-    named = edges.groupBy("v").agg(F.count("*").alias("named"))
-    draw: Column = F.pmod(F.xxhash64("u", "v", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-    back = edges.join(named, "v").filter(draw * F.col("named") < REVERSE).select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh")
-    return edges.unionByName(back.coalesce(tasks)).groupBy("u", "v").agg(F.max("fresh").alias("fresh")).coalesce(tasks)
-
-
-def _round(lists: DataFrame, nodes: DataFrame, turn: int, tasks: int) -> DataFrame:
-    """Offers of one round: neighbours of one node compared with each other."""
-
-    def floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            last = [_f4(p) for p in batch.column("sims").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([float(s[-1]) if len(s) == K else -2.0 for s in last])], ["v", "floor"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, bytes, bytes]] = []
-        for group in grouped(batches, ["u"]):
-            fresh = group["fresh"].to_numpy()
-            if len(fresh) > 1 and fresh.any():
-                out += _offers(group["v"].to_numpy(), dequantised(group["small"].to_pylist()), group["floor"].to_numpy(), fresh)
-            if len(out) >= 20000:
-                yield _offer_batch(out)
-                out = []
-        if out:
-            yield _offer_batch(out)
-
-    floor = lists.select("rep", "sims").mapInArrow(floors, "v long, floor double")
-    known = nodes.select(F.col("rep").alias("v"), "small").join(floor, "v").coalesce(tasks)
-    dealt = _both_ways(_edges(lists), turn, tasks).join(known, "v").coalesce(tasks).repartition("u").coalesce(tasks).sortWithinPartitions("u")
-    return dealt.select("u", "v", "fresh", "small", "floor").mapInArrow(run, "rep long, ids binary, sims binary")
-
-
-def build(classes: DataFrame, nodes: DataFrame, single: bool, tasks: int) -> DataFrame:
-    """The neighbour graph: rep, ids, sims (packed, nearest first)."""
-    lists = cut(_merged(_seeds(classes, single).withColumn("old", F.lit(False)), tasks))
-    for turn in range(ROUNDS):
-        offers = _round(lists, nodes, turn, tasks).withColumn("old", F.lit(False))
-        lists = cut(_merged(lists.select("rep", "ids", "sims").withColumn("old", F.lit(True)).unionByName(offers), tasks))
-        changed, size = lists.agg(F.sum("changed"), F.count("*")).first()
-        if not size or changed <= SETTLED * K * size:
-            break
-    return lists
-
-
-def adjacency(lists: DataFrame, tasks: int) -> DataFrame:
-    """node, near (packed ids): neighbours both ways."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [(g["u"][0].as_py(), g["v"].to_numpy().tobytes()) for g in grouped(batches, ["u"])]
-        if out:
-            a, b = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.binary())], ["node", "near"])
-
-    both = _both_ways(_edges(lists), -1, tasks).repartition("u").coalesce(tasks).sortWithinPartitions("u", "v")
-    return both.select("u", "v").mapInArrow(run, "node long, near binary")
-
-
-_STATE = "q long, own binary, ids binary, sims binary, done binary, seen binary, ask long"
-_NAMES = ["q", "own", "ids", "sims", "done", "seen", "ask"]
-
-
-def _out(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.binary()] * 5, pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], _NAMES)
-
-
-def _walks(batches: Iterator[pa.RecordBatch], step) -> Iterator[pa.RecordBatch]:
-    """Apply ``step`` to each query's state and what came for it; rows: states, then asks."""
-    out: list[tuple] = []
-    for group in grouped(batches, ["q"]):
-        rows = group.to_pylist()
-        state = next((r for r in rows if r["own"] is not None), None)
-        if state is not None:
-            kept, asks = step(state, [r for r in rows if r["own"] is None])
-            out.append((*kept, None))
-            out += [(state["q"], None, None, None, None, None, int(a)) for a in asks]
-        if len(out) >= 20000:
-            yield _out(out)
-            out = []
-    if out:
-        yield _out(out)
-
-
-def _look(state: dict, came: list[dict]) -> tuple[tuple, np.ndarray]:
-    """Neighbours came: ask for the vectors of those not seen."""
-    near = np.unique(np.concatenate([np.zeros(0, np.int64), *(_i8(r["near"]) for r in came)]))
-    seen = _i8(state["seen"])
-    new = near[~np.isin(near, seen)]
-    both = np.concatenate([seen, new]).tobytes()
-    return (state["q"], state["own"], state["ids"], state["sims"], state["done"], both), new
-
-
-def _move(state: dict, came: list[dict]) -> tuple[tuple, np.ndarray]:
-    """Vectors came: score them, keep the beam, and ask for the neighbours of the nearest."""
-    ids, sims, done = _i8(state["ids"]), _f4(state["sims"]), np.frombuffer(state["done"], bool)
-    came = [r for r in came if len(r["near"]) == len(state["own"])]
-    if came:
-        own = dequantised([state["own"]])[0]
-        ids = np.concatenate([ids, np.array([r["ask"] for r in came], np.int64)])
-        sims = np.concatenate([sims, dequantised([r["near"] for r in came]) @ own])
-        done = np.concatenate([done, np.zeros(len(came), bool)])
-    top = np.lexsort((ids, -sims))[:BEAM]
-    ids, sims, done = ids[top], sims[top], done[top].copy()
-    ask = np.flatnonzero(~done[:REST])
-    done[ask] = True
-    return (state["q"], state["own"], ids.tobytes(), sims.astype(np.float32).tobytes(), done.tobytes(), state["seen"]), ids[ask]
-
-
-def walk(queries: DataFrame, near: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
-    """q, ids: the packed beam of every query node after its search has come to rest."""
-
-    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for q, small in zip(batch.column("rep").to_pylist(), batch.column("small").to_pylist()):
-                me = np.array([q], np.int64).tobytes()
-                rows += [(q, small, me, np.ones(1, np.float32).tobytes(), b"\x01", me, None), (q, None, None, None, None, None, q)]
-            if rows:
-                yield _out(rows)
-
-    state = cut(nodes.join(queries, "rep").select("rep", "small").coalesce(tasks).mapInArrow(start, _STATE))
-    blank = [F.lit(None).cast("binary").alias(c) for c in _NAMES[1:6]]
-    steps = (
-        (near.select(F.col("node").alias("ask"), "near"), _look),
-        (nodes.select(F.col("rep").alias("ask"), F.col("small").alias("near")), _move),
-    )
-    for _ in range(MOVES):
-        if state.filter("ask IS NOT NULL").isEmpty():
-            break
-        for found, step in steps:
-            came = state.filter("ask IS NOT NULL").select("q", "ask").join(found, "ask").select("q", *blank, "ask", "near").coalesce(tasks)
-            own = state.filter("ask IS NULL").withColumn("near", F.lit(None).cast("binary"))
-            dealt = own.unionByName(came).repartition("q").coalesce(tasks).sortWithinPartitions("q", "ask")
-            state = cut(dealt.mapInArrow(lambda batches, step=step: _walks(batches, step), _STATE))
-    return state.filter("own IS NOT NULL").select("q", "ids")
-
-
-def _pairs(walked: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [_i8(p) for p in batch.column("ids").to_pylist()]
-            q = np.repeat(batch.column("q").to_numpy(), [len(i) for i in ids])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([np.zeros(0, np.int64), *ids]))], ["q", "rep"])
-
-    return walked.mapInArrow(run, "q long, rep long")
-
-
-def _scored(pairs: DataFrame, single: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = batch.column("left").to_pylist(), batch.column("right").to_pylist()
-            score = np.empty(len(a))
-            for length in {len(x) for x in a}:
-                at = [i for i, x in enumerate(a) if len(x) == length]
-                score[at] = np.einsum("ij,ij->i", unit(unpack([a[i] for i in at], single)), unit(unpack([b[i] for i in at], single)))
-            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("rep"), pa.array(score)], ["q", "rep", "score"])
-
-    return pairs.mapInArrow(run, "q long, rep long, score double")
+        for group in grouped(batches, ["i", "j"]):
+            sizes = pc.binary_length(group["vector"]).to_numpy()
+            for size in np.unique(sizes):
+                part = group.filter(pa.array(sizes == size))
+                asks, reps = part["asks"].to_numpy(), part["rep"].to_numpy()
+                x = unit(unpack(part["vector"].to_pylist(), single))
+                names = reps[asks]
+                for q, rep, score in nearest(x[asks], x[~asks], reps[~asks], k):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(rep), pa.array(score)], ["q", "rep", "score"])
+
+    return blocks.mapInArrow(run, "q long, rep long, score double")
+
+
+def all_nearest(queries: DataFrame, classes: DataFrame, single: bool, k: int) -> DataFrame:
+    """q, rep, score: the ``k`` nearest classes of each block of vectors for each query class."""
+    size = [F.count("*"), F.coalesce(F.sum(F.octet_length("vector")), F.lit(0))]
+    (asked, ask_bytes), (n, n_bytes) = queries.agg(*size).first(), classes.agg(*size).first()
+    rows = max(1, -(-asked // QUERY_BLOCK), -(-ask_bytes // BLOCK_BYTES))
+    columns = max(LEAST_BLOCKS, -(-n // BLOCK), -(-n_bytes // BLOCK_BYTES))
+    tasks = min(rows * columns, max(LEAST_TASKS, (asked * columns + n * rows) // TASK_ROWS))
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = queries.select(own(rows).alias("i"), every(columns).alias("j"), F.lit(True).alias("asks"), "rep", "vector")
+    right = classes.select(every(rows).alias("i"), own(columns).alias("j"), F.lit(False).alias("asks"), "rep", "vector")
+    dealt = left.unionByName(right).repartition(tasks, "i", "j").sortWithinPartitions("i", "j")
+    return _block_nearest(dealt, single, k)
 
 
 def _smallest(rows: DataFrame, n: int) -> DataFrame:
@@ -329,20 +102,13 @@ def _smallest(rows: DataFrame, n: int) -> DataFrame:
 
 
 def search(vectors: DataFrame, chosen: Column, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest other rows found for each row where ``chosen``."""
+    """query_id, rank, vec_id, score: the k nearest other rows of each row where ``chosen``."""
     single = is_single(vectors)
     rows, classes = classes_of(vectors)
     named = rows.filter("digest IS NOT NULL AND vec_id IS NOT NULL").select("vec_id", "digest")
-    nodes = cut(_nodes(classes, single))
-    tasks = max(LEAST_TASKS, nodes.count() // TASK_NODES)
-    nodes = cut(nodes.coalesce(tasks))
-    lists = build(classes, nodes, single, tasks)
-    near = cut(adjacency(lists, tasks))
-    asked = named.filter(chosen).join(classes.select("digest", "rep"), "digest").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q"))
-    found = _pairs(walk(asked.select(F.col("q").alias("rep")).distinct(), near, nodes, tasks))
-    left = classes.select(F.col("rep").alias("q"), F.col("vector").alias("left"))
-    right = classes.select("rep", F.col("vector").alias("right"))
-    scored = _scored(found.join(left, "q").join(right, "rep").select("q", "rep", "left", "right"), single)
+    asked = cut(named.filter(chosen).join(classes.select("digest", "rep"), "digest").select(F.col("vec_id").alias("query_id"), F.col("rep").alias("q")))
+    queries = classes.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi")
+    scored = all_nearest(queries, classes, single, k + 1)
     order = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
     best = cut(scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).select("q", "rep", "score"))
     ids = _smallest(named, k + 1).join(classes.select("digest", "rep"), "digest").select("rep", "vec_id")

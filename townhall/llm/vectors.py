@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import cut, grouped
 from .graph import components
 
-BITS, SEED = 48, 11
 #: Classes and bytes of a block at most, and the fewest blocks, so that small tables are spread too.
 BLOCK, BLOCK_BYTES, LEAST_BLOCKS = 65536, 16 << 20, 8
 #: Vectors that are multiplied at once; rows that a task is worth, and the fewest tasks.
@@ -87,40 +86,6 @@ def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, classes
 
 
-def _keys(dim: int, passes: int) -> np.ndarray:
-    return np.random.default_rng([SEED, dim]).standard_normal((dim, passes * BITS)).astype(np.float32)
-
-
-def sort_keys(classes: DataFrame, single: bool, passes: int) -> DataFrame:
-    """rep, pass, key, vector: one row for every pass."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-        planes: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
-                packed = part.column("vector").to_pylist()
-                lengths = np.array([len(p) for p in packed])
-                for length in np.unique(lengths):
-                    at = np.flatnonzero(lengths == length)
-                    x = unit(unpack([packed[i] for i in at], single)).astype(np.float32)
-                    if x.shape[1] not in planes:
-                        planes[x.shape[1]] = _keys(x.shape[1], passes)
-                    bits = (x @ planes[x.shape[1]] > 0).reshape(len(at), passes, BITS)
-                    keys = bits @ weights
-                    reps = part.column("rep").to_numpy()[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(reps, passes)), pa.array(np.tile(np.arange(passes, dtype=np.int32), len(at))), pa.array(keys.reshape(-1)),
-                            pa.array([packed[i] for i in at for _ in range(passes)], pa.binary()),
-                        ],
-                        ["rep", "pass", "key", "vector"],
-                    )
-
-    return classes.select("rep", "vector").mapInArrow(run, "rep long, pass int, key long, vector binary")
-
-
 def slack(dim: int) -> float:
     """More than the error of a product of two unit vectors in single precision."""
     return (dim + 4) * 2.0**-23
