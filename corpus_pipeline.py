@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that over a tenth of their source's documents (and ten) repeat."""
-    return lines.clean_documents(docs, ratio=0.1, least=10)
+    """Texts without the lines that over a twenty-fifth of their source's texts (and three) repeat."""
+    return lines.clean_documents(docs, ratio=0.04, least=3, once=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

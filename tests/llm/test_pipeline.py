@@ -70,3 +70,13 @@ def test_run_is_the_stages_in_turn(spark, corpus):
     key = lambda df: sorted((r.doc_id, r.ids_sha256) for r in df.collect())
     whole = corpus_pipeline.run(spark, corpus)
     assert key(whole) == key(docs) and whole.count() > 0
+
+
+def test_repeated_lines_go_and_copies_stay(spark, corpus):
+    rows = []
+    for source, n, held in [("a", 20, 3), ("b", 50, 3), ("c", 50, 5), ("d", 200, 10), ("e", 200, 20), ("f", 500, 25), ("g", 500, 50)]:
+        rows += [(len(rows) + i, f"text {i} of {source}" + "\nread on" * (i < held), source) for i in range(n)]
+        rows += [(len(rows) + i, f"copied in {source}\nas it is", source) for i in range(n // 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, frame, corpus).collect()}
+    assert out == {d: t.replace("\nread on", "") for d, t, _ in rows}

@@ -47,12 +47,19 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     return both.filter(F.col("n") > F.col("total") * ratio).select("_host", "_line")
 
 
-def drop_lines(pages: DataFrame, page_id: str, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """``pages`` with ``_kept`` (lines that stay) and ``_lines`` (their number before)."""
+def drop_lines(pages: DataFrame, page_id: str, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, same: Column | None = None) -> DataFrame:
+    """``pages`` with ``_kept`` (lines that stay) and ``_lines`` (their number before).
+
+    Pages of one site that agree in ``same`` are counted as one.
+    """
     hashes = lambda a: F.transform(a, lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
     full = pages.withColumns({"_host": site, "_all": lines})
     hashed = full.select(F.col(page_id).alias("_page"), "_host", F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
-    common = boilerplate(hashed, ratio, least).select(F.col("_host").alias("_site"), F.col("_line").alias("_common"))
+    counted = hashed
+    if same is not None:
+        once = full.select("_host", same.alias("_same"), F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
+        counted = once.groupBy("_host", "_same").agg(F.first("_hashes").alias("_hashes"))
+    common = boilerplate(counted, ratio, least).select(F.col("_host").alias("_site"), F.col("_line").alias("_common"))
     found = hashed.select("_page", "_host", F.explode(F.array_distinct("_hashes")).alias("_line"))
     marks = found.join(common, F.col("_host").eqNullSafe(F.col("_site")) & (F.col("_line") == F.col("_common")))
     drops = marks.groupBy(F.col("_page").alias("_of"), F.col("_host").alias("_at")).agg(F.collect_set("_line").alias("_drop"))
@@ -71,8 +78,13 @@ def clean_pages(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     )
 
 
-def clean_documents(documents: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """Documents with boilerplate lines of their source removed; a null text stays null."""
-    done = drop_lines(documents, "doc_id", F.col("source"), text_lines(F.col("text")), ratio, least)
+def clean_documents(documents: DataFrame, ratio: float = RATIO, least: int = LEAST, once: bool = False) -> DataFrame:
+    """Documents with boilerplate lines of their source removed; a null text stays null.
+
+    With ``once`` exact copies of a text within a source count as one document, so that a group of
+    copies does not make boilerplate of all its lines.
+    """
+    same = F.xxhash64("text") if once else None
+    done = drop_lines(documents, "doc_id", F.col("source"), text_lines(F.col("text")), ratio, least, same)
     text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
     return done.withColumn("text", text).select(*documents.columns)
