@@ -1,5 +1,7 @@
 """The network's gradients, its held-out accuracy, and its edge cases."""
 
+import pathlib
+import re
 import zlib
 
 import numpy as np
@@ -71,3 +73,10 @@ def test_edges(spark):
     kept = toxicity.keep_clean(documents, labels)
     assert kept.columns == documents.columns and kept.count() == 4
     assert kept.agg(F.sum("toxicity")).first()[0] == 36
+
+
+def test_every_parameter_is_read():
+    source = pathlib.Path(toxicity.__file__).read_text()
+    named = re.findall(r"^([A-Z][A-Z_, ]*) = ", source, re.M)
+    for name in ", ".join(named).split(", "):
+        assert len(re.findall(rf"\b{name}\b", re.sub("#.*", "", source))) > 1, name

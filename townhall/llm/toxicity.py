@@ -36,8 +36,6 @@ GRAMS = 1 << 15
 SAMPLE, STEPS, REFRESH, BATCH, RATE = 1000, 280, 28, 128, 0.01
 #: Spread of the noise that training adds to inputs, against learning documents by heart.
 NOISE = 1.0
-#: Of the two tables: shrinkage at each step, and share of the learning rate.
-DECAY, TABLE_RATE = 0.01, {"word": 0.1, "gram": 0.1}
 #: Words that this many sampled documents hold get an embedding of their own.
 SEEN = 3
 THRESHOLD = 0.3
