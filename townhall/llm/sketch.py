@@ -239,9 +239,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without those that are near copies of one that is kept.
+    """``documents`` without those whose id is a near copy of one that is kept.
 
-    Rows that repeat an id and a set are one document; the first by text stays.
+    Ids are taken to be unique: every row of an id that is kept stays, rows that repeat it (exact
+    copies included) too, and so do rows without an id.
     """
     kept = near_duplicates(documents, k, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
     return documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
