@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import cut, grouped
-from .vectors import BLOCK, BLOCK_BYTES, LEAST_TASKS, TASK_ROWS, classes_of, is_single, products, slack, unit, unpack
+from .vectors import BLOCK_BYTES, LEAST_TASKS, TASK_ROWS, WIDE, classes_of, is_single, products, slack, unit, unpack
 
 #: Queries of a block at most, and the fewest blocks of vectors, so that small tables are spread too.
 QUERY_BLOCK, LEAST_BLOCKS = 8192, 24
@@ -84,7 +84,7 @@ def all_nearest(queries: DataFrame, classes: DataFrame, single: bool, k: int) ->
     size = [F.count("*"), F.coalesce(F.sum(F.octet_length("vector")), F.lit(0))]
     (asked, ask_bytes), (n, n_bytes) = queries.agg(*size).first(), classes.agg(*size).first()
     rows = max(1, -(-asked // QUERY_BLOCK), -(-ask_bytes // BLOCK_BYTES))
-    columns = max(LEAST_BLOCKS, -(-n // BLOCK), -(-n_bytes // BLOCK_BYTES))
+    columns = max(LEAST_BLOCKS, -(-n // WIDE), -(-n_bytes // BLOCK_BYTES))
     tasks = min(rows * columns, max(LEAST_TASKS, (asked * columns + n * rows) // TASK_ROWS))
     own = lambda blocks: F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
