@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; one longer document is worked on alone.
 PIECE_BYTES = 2 << 20
@@ -51,16 +52,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only where a session has none
-    (tests on one machine) a temporary one is set.
+    The folder is the one that ``spark.checkpoint.dir`` names; where a session has none, a temporary
+    one is set on a single machine, and a cluster is refused: its machines share no such folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="townhall-"))
     return df.checkpoint()
 
 
+#: A key with more than one in HUBS of all rows is a hub.
+HUBS = 200
+
+
+def join_hubs(rows: DataFrame, names: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` left joined with ``names``, which has each ``key`` once and ``held``, how many of
+    the ``total`` rows have it: by a broadcast for the hubs (at most HUBS names, if ``total`` is
+    right), by a join for all other keys, so that no hub's rows meet in one task."""
+    hub = F.col("held") * HUBS > total
+    hubs = F.broadcast(names.filter(hub).drop("held"))
+    rest = rows.join(F.broadcast(names.filter(hub).select(key)), key, "left_anti")
+    return rows.join(hubs, key).unionByName(rest.join(names.filter(~hub).drop("held"), key, "left"))
+
+
 def trim() -> None:
     """Hand freed memory back to the system (where the C library can), so that a worker which lives
     on does not keep its largest task's memory."""

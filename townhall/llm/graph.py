@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
 Only minima travel: no neighbour list is ever gathered, so a node with very many links is a
-partially aggregated key, and its minimum meets its links by a broadcast of the few such hubs (at
-most ``2 * HUBS`` rows), not in one task of a join. Each round's edges are cut to the checkpoint
+partially aggregated key, and its minimum meets its links by a broadcast of the few such hubs
+(``join_hubs``), not in one task of a join. Each round's edges are cut to the checkpoint
 folder; the rounds grow with the logarithm of the longest path. Once no more than ``FEW`` edges are
 left (16 MB), one task finishes them.
 """
@@ -16,10 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_hubs
 
-#: A key with more than one in HUBS of all rows is a hub.
-HUBS = 200
 #: Edges (two 8-byte ids) that one task may finish.
 FEW = 1 << 20
 
@@ -60,15 +58,6 @@ def _finished(edges: DataFrame) -> DataFrame:
     return edges.coalesce(1).mapInArrow(run, "id long, component long")
 
 
-def with_least(rows: DataFrame, least: DataFrame, total: int) -> DataFrame:
-    """``rows`` with ``m`` of their key ``u`` from ``least`` (u, m, held: its rows, of ``total``):
-    by a broadcast for the hubs, by a join for all others."""
-    hub = F.col("held") * HUBS > total
-    some = rows.join(F.broadcast(least.filter(hub).select("u", F.col("m").alias("hub"))), "u", "left")
-    rest = some.filter("hub IS NULL").drop("hub").join(least.filter(~hub).drop("held"), "u")
-    return some.filter("hub IS NOT NULL").withColumnRenamed("hub", "m").unionByName(rest)
-
-
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) -> (id, component) for every linked id; component is the smallest id.
 
@@ -87,9 +76,9 @@ def components(links: DataFrame) -> DataFrame:
         mark = now
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("held"))
-        large = with_least(both, low, total).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hubs(both, low, "u", total).filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("held"))
-        moved = with_least(large, lower, total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = join_hubs(large, lower, "u", total).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = cut(moved.union(lower.select("u", F.col("m").alias("v"))).distinct())
 
 
@@ -99,4 +88,4 @@ def named_components(links: DataFrame, classes: DataFrame) -> DataFrame:
     part = components(links).join(classes.select(F.col("node").alias("id"), "rep"), "id")
     held = cut(part.select(F.col("component").alias("u"), F.col("id").alias("node"), "rep"))
     least = held.groupBy("u").agg(F.min("rep").alias("m"), F.count("*").alias("held"))
-    return with_least(held, least, held.count()).select("node", F.col("u").alias("component"), F.col("m").alias("name"))
+    return join_hubs(held, least, "u", held.count()).select("node", F.col("u").alias("component"), F.col("m").alias("name"))

@@ -53,7 +53,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return descent.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+    return descent.walk_search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 OP1_SQL = r"""

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grouped
+from .common import cut, grouped, join_hubs
 from .graph import forest, named_components
 
 BITS, SEED = 48, 11
@@ -377,8 +377,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, exact: bool = False)
         counts = _component_links(classes, part, single, least)
     counted = counts.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("others"))
     known = classes.select("node", "digest", "rep", "copies").join(part, "node", "left").join(counted, "node", "left")
-    known = known.select("digest", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("name", "rep").alias("component"))
-    out = rows.select("vec_id", "digest").join(known, "digest", "left")
+    known = known.select("digest", F.col("copies").alias("held"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("name", "rep").alias("component"))
+    out = join_hubs(rows.select("vec_id", "digest"), known, "digest", rows.count())
     has_id = F.col("vec_id").isNotNull()
     out = out.select("vec_id", F.when(has_id, F.coalesce("n", F.lit(0))).otherwise(0).alias("n_links"), F.when(has_id, F.coalesce("component", "vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)))
