@@ -137,6 +137,37 @@ def test_sharding(spark):
     assert sharding.shard_documents(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_sharding_without_ids(spark, tmp_path):
+    """Null and repeated ids spread by their texts; the map's versions are stored."""
+    rows = [(None, f"{i} " * 40, "s", "x") for i in range(4000)] + [(7, f"{i} " * 30, "s", "x") for i in range(4000)]
+    maps = str(tmp_path / "maps")
+    placed = sharding.shard_documents(frame(spark, rows), maps=maps)
+    loads = Counter()
+    for r in placed.collect():
+        loads[r.shard] += r["size"]
+    assert len(loads) == 16 and max(loads.values()) <= 1.05 * min(loads.values())
+    assert sharding.SlotMap.load(spark, maps, 1).owner == sharding.SlotMap.even(16).owner
+    last = sharding.SlotMap.load(spark, maps, 2)
+    assert last.shards == 16 and {s: n for s, n in enumerate(last.loads())} == dict(loads)
+
+
+def test_own_names_pass_through(spark):
+    """Columns named as the operators' inner ones are neither lost nor changed."""
+    names = ["_id", "_source", "_size", "_host", "_all", "_kept", "_copies", "row", "turn", "size", "hash", "n"]
+    docs = spark.createDataFrame([(i, f"common\nline {i}", "s", *range(len(names))) for i in range(30)], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    for done in (lines.clean_documents(docs), mixing.mix(docs)):
+        assert done.columns == docs.columns
+        assert all(tuple(r)[3:] == tuple(range(len(names))) for r in done.collect())
+    assert lines.clean_documents(docs).filter(F.col("text").startswith("common")).count() == 0
+
+
+def test_empty_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "http://a.b/", "<p>x</p><p>y</p>")] * 3 + [(2, "http://a.b/c", "<p>x</p><p>z</p>")], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.text, r.n_lines, r.n_removed) for r in lines.clean_pages(pages).collect())
+    assert got == {(1, "", 2, 2): 3, (2, "z", 2, 1): 1}
+    assert lines.clean_pages(pages.limit(0)).count() == 0
+
+
 def test_slot_map_edits(spark, tmp_path):
     rng = random.Random(5)
     first = sharding.SlotMap.even(4, 256).measured([(s, int(rng.paretovariate(1.1) * 10), 1) for s in range(256)])

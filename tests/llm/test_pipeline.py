@@ -80,3 +80,20 @@ def test_repeated_lines_go_and_copies_stay(spark, corpus):
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, frame, corpus).collect()}
     assert out == {d: t.replace("\nread on", "") for d, t, _ in rows}
+
+
+def test_empty_null_and_repeated_rows(spark, corpus, tmp_path):
+    """Stages on no rows, null ids, repeated rows, and columns beyond those of documents."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").withColumn("row", F.lit(1)).withColumn("_host", F.lit("h"))
+    some = docs.limit(20).unionByName(docs.filter("doc_id = 300")).unionByName(docs.filter("doc_id = 300")).unionByName(docs.filter("doc_id = 302").withColumn("doc_id", F.lit(None).cast("long")))
+    folder = str(tmp_path / "sf")
+    spark.read.parquet(f"{corpus}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    for name, table in (("some", some), ("none", docs.limit(0))):
+        now = table
+        for stage, f in corpus_pipeline.STAGES:
+            now = f(spark, now, folder)
+            assert stage == "bpe" or now.columns == docs.columns
+            if stage == "minhash_dedup" and name == "some":
+                ids = [r.doc_id for r in now.select("doc_id").collect()]
+                assert ids.count(300) == 1 and ids.count(None) == 1 and len(set(ids)) == len(ids)
+        assert (now.count() == 0) == (name == "none")

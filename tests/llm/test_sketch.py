@@ -75,7 +75,8 @@ def test_null_ids_and_repeats(spark):
     rows = sketch.near_duplicates(df, 4, 80).collect()
     assert len(rows) == 4
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
-    assert sketch.keep_one(df).count() == 4
+    # One row of the group stays; the row without an id stays too.
+    assert sorted((r.doc_id or 0, r.text) for r in sketch.keep_one(df).collect()) == [(0, "a b c d e"), (1, "a b c d e"), (2, "x")]
     assert sketch.near_duplicates(df.limit(0), 4, 80).count() == 0
 
 
@@ -97,3 +98,23 @@ def test_registers_merge():
     a, b = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (50, 700))
     one, two, both = sketch.registers([a, b, np.union1d(a, b)])
     assert (np.maximum(one, two) == both).all()
+
+
+def test_keep_one_by_text(spark):
+    """Repeated ids with several texts: each group keeps one row, and no near copy of it."""
+    far, near = "p q r s t u v w x y", "a b c d e f g h i j k l m n o"
+    rows = [(1, near, "k"), (5, near, "l"), (5, far, "m"), (5, far, "m"), (6, far + "", "n"), (7, None, "o"), (7, None, "o"), (8, " ", "p"), (None, far, "q")]
+    df = spark.createDataFrame([(d, t, e, 1, 2) for d, t, e in rows], "doc_id long, text string, row string, id int, n int").repartition(3)
+    out = sketch.keep_one(df)
+    assert out.columns == df.columns
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text or "")
+    assert sorted((key(r) for r in out.collect())) == sorted([(False, 1, near), (False, 5, far), (False, 7, ""), (False, 7, ""), (False, 8, " "), (True, 0, far)])
+    assert sketch.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_text_longer_than_a_piece(spark):
+    rng = random.Random(4)
+    long = " ".join(str(rng.randrange(10**6)) for _ in range(400_000))
+    rows = [(1, long), (2, long + " end"), (3, "a b c d e f"), (4, long[: len(long) // 2])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in sketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == brute(rows, 5, 80)

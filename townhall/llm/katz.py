@@ -37,7 +37,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, grouped, mix, pieces, text_hashes, trim
+from .common import U, cut, grouped, join_hubs, mix, pieces, text_hashes, trim
 
 LARGE, HOT, VOCABULARY = 5, 0.01, 1 << 23
 START, END = U(0x5354415254), U(0x454E44)
@@ -160,8 +160,12 @@ def _with_counts(texts: DataFrame, counts: DataFrame) -> DataFrame:
 
     keyed = texts.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     pairs = keyed.select("key", "text").mapInArrow(distinct, "key string, word long").distinct()
-    known = pairs.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("own"))
-    return keyed.join(known, "key", "left").drop("key")
+    # A word has at most as many pairs as it has tokens, so the commonest ones are broadcast.
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    with_n = join_hubs(pairs, counts.withColumn("held", F.col("n")), "word", total).filter("n IS NOT NULL")
+    known = with_n.groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("own"))
+    # Cut: both readings, and tasks run again after a loss, must see the same rows in the same order.
+    return cut(keyed.join(known, "key", "left").drop("key"))
 
 
 _FOLDED = "p int, piece long, docs boolean, blob binary"
@@ -413,7 +417,7 @@ def score(documents: DataFrame, held: Column) -> DataFrame:
     source = texts if small else _with_counts(texts, counts)
     parts = max(1, -(-unigrams.tokens // PART_TOKENS))
     sent = documents.sparkSession.sparkContext.broadcast(table)
-    table_of = _folded(source, unigrams, sent, hot, parts).repartition(parts, "p").rdd
+    table_of = _folded(source, unigrams, sent, hot, parts).repartitionById(parts, F.col("p")).rdd
     n, sums = np.zeros(LARGE + 2), {}
     for context, values in table_of.mapPartitions(lambda rows: _first_reading(rows, unigrams, hot)).collect():
         if context is None:  # a row for each partition, and one for each hot context in it

@@ -9,8 +9,9 @@ come before the shuffle, so a line on every page of a hot site is one row per ta
 boilerplate lines come back to the pages.
 
 Nulls: a null text has no lines; a null host is a site of its own. Pages of one id and host share
-the decision. Blank lines are never boilerplate. Empty tables give empty results. Other columns
-pass through ``drop_lines`` untouched.
+the decision, and rows that repeat a page count each. Blank lines are never boilerplate. Empty tables
+give empty results. Texts are taken whole, however long. A page's own columns travel in ``row``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,33 +48,31 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     return both.filter(F.col("n") > F.col("total") * ratio).select("_host", "_line")
 
 
-def drop_lines(pages: DataFrame, page_id: str, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, same: Column | None = None) -> DataFrame:
-    """``pages`` with ``_kept`` (lines that stay) and ``_lines`` (their number before).
+def drop_lines(pages: DataFrame, page_id: Column, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, same: Column | None = None) -> DataFrame:
+    """row (the page's own columns), _host, _kept (lines that stay) and _lines (their number before).
 
     Pages of one site that agree in ``same`` are counted as one.
     """
     hashes = lambda a: F.transform(a, lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
-    full = pages.withColumns({"_host": site, "_all": lines})
-    hashed = full.select(F.col(page_id).alias("_page"), "_host", F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
-    counted = hashed
-    if same is not None:
-        once = full.select("_host", same.alias("_same"), F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
-        counted = once.groupBy("_host", "_same").agg(F.first("_hashes").alias("_hashes"))
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    full = pages.select(row.alias("row"), page_id.alias("_page"), site.alias("_host"), lines.alias("_all"), (F.lit(0) if same is None else same).alias("_same"))
+    hashed = full.select("_page", "_host", "_same", F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
+    counted = hashed if same is None else hashed.groupBy("_host", "_same").agg(F.first("_hashes").alias("_hashes"))
     common = boilerplate(counted, ratio, least).select(F.col("_host").alias("_site"), F.col("_line").alias("_common"))
     found = hashed.select("_page", "_host", F.explode(F.array_distinct("_hashes")).alias("_line"))
     marks = found.join(common, F.col("_host").eqNullSafe(F.col("_site")) & (F.col("_line") == F.col("_common")))
     drops = marks.groupBy(F.col("_page").alias("_of"), F.col("_host").alias("_at")).agg(F.collect_set("_line").alias("_drop"))
-    marked = full.join(drops, F.col(page_id).eqNullSafe(F.col("_of")) & F.col("_host").eqNullSafe(F.col("_at")), "left")
+    marked = full.join(drops, F.col("_page").eqNullSafe(F.col("_of")) & F.col("_host").eqNullSafe(F.col("_at")), "left")
     stays = F.filter("_all", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_drop"), F.xxhash64(x)))
     kept = F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(stays)
-    return marked.select(*[pages[c] for c in pages.columns], F.col("_host"), kept.alias("_kept"), F.size("_all").alias("_lines"))
+    return marked.select("row", "_host", kept.alias("_kept"), F.size("_all").alias("_lines"))
 
 
 def clean_pages(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """page_id, host, text (kept lines joined by line ends), n_lines, n_removed."""
-    done = drop_lines(pages.select("page_id", "url", "html"), "page_id", host(F.col("url")), html_lines(F.col("html")), ratio, least)
+    done = drop_lines(pages.select("page_id", "url", "html"), F.col("page_id"), host(F.col("url")), html_lines(F.col("html")), ratio, least)
     return done.select(
-        "page_id", F.col("_host").alias("host"), F.array_join("_kept", "\n").alias("text"),
+        "row.page_id", F.col("_host").alias("host"), F.array_join("_kept", "\n").alias("text"),
         F.col("_lines").cast("long").alias("n_lines"), (F.col("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
     )
 
@@ -85,6 +84,6 @@ def clean_documents(documents: DataFrame, ratio: float = RATIO, least: int = LEA
     copies does not make boilerplate of all its lines.
     """
     same = F.xxhash64("text") if once else None
-    done = drop_lines(documents, "doc_id", F.col("source"), text_lines(F.col("text")), ratio, least, same)
-    text = F.when(F.col("text").isNotNull(), F.array_join("_kept", "\n"))
-    return done.withColumn("text", text).select(*documents.columns)
+    done = drop_lines(documents, F.col("doc_id"), F.col("source"), text_lines(F.col("text")), ratio, least, same)
+    text = F.when(F.col("row.text").isNotNull(), F.array_join("_kept", "\n")).alias("text")
+    return done.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in documents.columns])

@@ -85,12 +85,14 @@ def copies(documents: DataFrame, seed: int = 17, salts: int = SALTS) -> DataFram
 def mix(documents: DataFrame, seed: int = 17) -> DataFrame:
     """The mixed documents themselves: every row as often as it is taken, with its own columns.
 
-    Rows that share an id are matched with their plans in order of source and size.
+    Rows of one id, source and size are interchangeable: they are matched with their plans in turn.
     """
-    inside = Window.partitionBy("_id").orderBy("_source", "_size")
-    plan = copies(documents, seed).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    plan = plan.withColumn("_n", F.row_number().over(inside)).select(F.col("_id").alias("_of"), F.col("_n").alias("_m"), "_copies").filter("_copies > 0")
-    rows = documents.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_size": word_count(F.col("text"))}).withColumn("_n", F.row_number().over(inside))
-    both = rows.join(plan, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_n") == F.col("_m")))
-    repeated = both.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return repeated.select(*documents.columns)
+    key = ["id", "source", "size"]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    plan = copies(documents, seed).select(F.col("doc_id").alias("id"), "source", "size", "copies").withColumn("turn", turn).filter("copies > 0")
+    plan = plan.toDF("of_id", "of_source", "of_size", "copies", "of_turn")
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    rows = documents.select(row.alias("row"), F.col("doc_id").alias("id"), "source", word_count(F.col("text")).alias("size")).withColumn("turn", turn)
+    same = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in key] + [F.col("turn") == F.col("of_turn")]
+    both = rows.join(plan, same[0] & same[1] & same[2] & same[3])
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

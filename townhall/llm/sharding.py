@@ -5,9 +5,13 @@ table of ``SLOTS`` rows whatever the corpus holds), and a versioned map says whi
 belongs to. Rebalancing edits the map; records never rehash. The map is the only thing that is
 collected or broadcast.
 
-Nulls: a null text counts as empty, a null key hashes like any other value. Repeated keys share a
-slot. Empty tables give an empty result. Input columns other than the ones named are not read, so
-their names may clash with the result's.
+Documents are dealt by id and text together, so rows that share an id (or have none) spread like any
+others. Equal texts under different ids may go to different shards: the law is near equal bytes, and
+nothing keeps copies together. Only rows equal in both share a slot.
+
+Nulls: a null text counts as empty, a null id hashes like any other value. Empty tables give an
+empty result. Texts are measured whole, however long. Input columns other than the ones named are not
+read, so their names may clash with the result's.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import new_folder
+
 SLOTS = 4096
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(*key: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
 @dataclass
@@ -101,16 +107,16 @@ class SlotMap:
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int) -> SlotMap:
         rows = sorted(spark.read.parquet(f"{path}/version={version}").select("vslot", "shard", "bytes", "rows").collect())
-        return cls(max(r[1] for r in rows) + 1, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], version)
+        return cls(1 + max(r[1] for r in rows), [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], version)
 
 
-def slot_sums(records: DataFrame, key: str, size: str, slots: int = SLOTS) -> list[tuple[int, int, int]]:
+def slot_sums(records: DataFrame, key: list[str], size: str, slots: int = SLOTS) -> list[tuple[int, int, int]]:
     """(slot, bytes, rows) for every slot in use: at most ``slots`` rows come to the driver."""
-    sums = records.groupBy(slot_of(F.col(key), slots).alias("vslot")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
+    sums = records.groupBy(slot_of(*[F.col(c) for c in key], slots=slots).alias("vslot")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"))
     return [tuple(r) for r in sums.collect()]
 
 
-def place(records: DataFrame, key: str, slot_map: SlotMap) -> DataFrame:
+def place(records: DataFrame, key: list[str], slot_map: SlotMap) -> DataFrame:
     """``records`` with shard and slot: the record's place in its shard, gapless from 0.
 
     Places are counted within virtual slots and shifted by the map's row counts, so no task
@@ -119,21 +125,30 @@ def place(records: DataFrame, key: str, slot_map: SlotMap) -> DataFrame:
     slots = len(slot_map.owner)
     owners = slot_map.frame(records.sparkSession).select("vslot", "shard", "base")
     inside = Window.partitionBy("vslot").orderBy(*[F.col(c) for c in records.columns])
-    keyed = records.withColumn("vslot", slot_of(F.col(key), slots))
+    keyed = records.withColumn("vslot", slot_of(*[F.col(c) for c in key], slots=slots))
     ranked = keyed.withColumn("place", F.row_number().over(inside))
     return ranked.join(F.broadcast(owners), "vslot").withColumn("slot", F.col("base") + F.col("place") - 1).drop("base", "place", "vslot")
 
 
-def shard_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
-    """Shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def shard_documents(documents: DataFrame, shards: int = 16, maps: str | None = None) -> DataFrame:
+    """Shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard, map_version.
+
+    The slot map's versions, the even one and the rebalanced one, are stored at ``maps``, by default
+    in a folder of their own beside the checkpoints; the placement is read from what was stored.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     records = documents.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    slot_map = SlotMap.even(shards).measured(slot_sums(records, "doc_id", "size")).rebalanced()
-    placed = place(records, "doc_id", slot_map)
+    spark, key = documents.sparkSession, ["doc_id", "text_crc32"]
+    maps = maps or new_folder(spark, "slot-map")
+    first = SlotMap.even(shards).measured(slot_sums(records, key, "size"))
+    for version in (first, first.rebalanced()):
+        version.save(spark, maps)
+    slot_map = SlotMap.load(spark, maps, first.version + 1)
+    placed = place(records, key, slot_map)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
         F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),

@@ -20,7 +20,8 @@ registers merge by maximum and agree on a share of places that follows the Jacca
 With ``ROWS`` = 4 and 32 bands, two sets at similarity 0.8 share no key with probability 5e-8.
 
 Nulls: null and wordless texts have the empty set and link with nothing; a null id gets no component
-and stays. Repeated ids are judged by their rows' texts. Columns other than id and text are not read.
+and stays. Rows that repeat an id are judged each by its own text. Columns other than id and text are
+not read. A text longer than a piece of work is sketched alone, whole. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,16 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, gram_hashes, grouped, mix, pieces, text_hashes
-from .graph import components
+from .common import U, cut, gram_hashes, grouped, join_hubs, mix, pieces, text_hashes
+from .graph import components, named_components
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65535
 #: Estimates this far below the threshold (over five standard errors) are not looked at further.
 MARGIN = 0.2
+WORD = r"[^\x20\x09-\x0D]"
 #: A family of more documents or elements than this is searched in blocks.
 BLOCK_DOCS, BLOCK_ELEMENTS = 4096, 2_000_000
+#: Ids of family members (8 bytes each) that are sent to the texts' scan; more are joined after it.
+SENT_IDS = 1 << 20
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -168,7 +172,7 @@ def _digest(values: np.ndarray) -> bytes:
 
 
 def sketches(documents: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if empty), sketch, bands."""
+    """doc_id, text_hash, n_shingles, digest (of the set; null if empty), sketch, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -179,16 +183,17 @@ def sketches(documents: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_digest(s) if f else None for s, f in zip(sets, full)], pa.binary()),
                     pa.array([r.tobytes() if f else None for r, f in zip(regs, full)], pa.binary()),
                     pa.array([b if f else None for b, f in zip(keys, full)], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "digest", "sketch", "bands"],
+                ["doc_id", "text_hash", "n_shingles", "digest", "sketch", "bands"],
             )
 
-    schema = "doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>"
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, text_hash long, n_shingles long, digest binary, sketch binary, bands array<long>"
+    return documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, schema)
 
 
 def _family_links(members: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,9 +202,9 @@ def _family_links(members: DataFrame, k: int, percent: int) -> DataFrame:
             sets: list[np.ndarray] = []
             for batch in pieces(iter(group.select(["text"]).to_batches()), "text"):
                 sets += shingle_sets(batch.column("text"), k)
-            ids = group.column("rep").to_numpy()
+            ids = group.column("node").to_numpy()
             want = group.column("digest").to_pylist()
-            own = [i for i, s in enumerate(sets) if _digest(s) == want[i]]
+            own = list({int(ids[i]): i for i, s in enumerate(sets) if _digest(s) == want[i]}.values())
             sketch = group.column("sketch").to_pylist()
             regs = np.frombuffer(b"".join(sketch[i] for i in own), "<u2").reshape(-1, REGISTERS)
             pairs = links(ids[own], [sets[i] for i in own], regs, percent) if len(own) > 1 else []
@@ -210,39 +215,63 @@ def _family_links(members: DataFrame, k: int, percent: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def _judged(documents: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(drawn, known): the rows' sketches, and digest, component, name (its smallest id), held (rows)."""
+    drawn = cut(sketches(documents, k))
+    identified = drawn.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "sketch", "bands")]
+    classes = identified.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("held"), *firsts)
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    keys = classes.select("node", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("held")).filter("held > 1")
+    stars = keys.join(shared, "key").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    family = components(stars).select(F.col("id").alias("node"), F.col("component").alias("family"))
+    joined = cut(classes.select("node", "rep", "digest", F.col("n_shingles").alias("n"), "sketch").join(family, "node"))
+    sums = joined.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_ELEMENTS, F.count("*") / BLOCK_DOCS)).alias("blocks"))
+    placed = joined.join(sums, "family").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = placed.select("node", "rep", "digest", "sketch", "family", "own", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("x"))
+    dealt = dealt.select("node", "rep", "digest", "sketch", "family", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
+    if joined.count() <= SENT_IDS:
+        texts = texts.join(F.broadcast(joined.select("rep")), "rep", "left_semi")
+    members = texts.join(dealt, "rep").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    found = cut(_family_links(members, k, percent))
+    part = named_components(found, classes)
+    known = classes.join(part, "node", "left")
+    return drawn, known.select("digest", F.coalesce("component", "node").alias("component"), F.coalesce("name", "rep").alias("name"), "held")
+
+
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``documents``.
 
     Documents are linked when 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest id reachable, and the document of that id is kept.
     """
-    drawn = cut(sketches(documents, k))
-    identified = drawn.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    classes = cut(identified.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
-    keys = classes.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.count("*").alias("held")).filter("held > 1")
-    stars = keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    family = components(stars).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    joined = cut(classes.select("rep", "digest", "n", "sketch").join(family, "rep"))
-    sums = joined.groupBy("family").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_ELEMENTS, F.count("*") / BLOCK_DOCS)).alias("blocks"))
-    placed = joined.join(sums, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    dealt = placed.select("rep", "digest", "sketch", "family", "own", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("x"))
-    dealt = dealt.select("rep", "digest", "sketch", "family", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
-    texts = documents.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    members = texts.join(dealt, "rep").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    found = cut(_family_links(members, k, percent))
-    part = components(found).select(F.col("id").alias("rep"), "component")
-    known = classes.select("digest", "rep").join(part, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = drawn.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    drawn, known = _judged(documents, k, percent)
+    rows = drawn.select("doc_id", "n_shingles", "digest")
+    out = join_hubs(rows, known.select("digest", "name", "held"), "digest", rows.count())
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("name", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def keep_one(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``documents`` without those whose id is a near copy of one that is kept.
+    """``documents`` with one row for each group of near copies: of the group's smallest id, and where
+    that has several texts in the group, of one of them; rows that repeat it once.
 
-    Ids are taken to be unique: every row of an id that is kept stays, rows that repeat it (exact
-    copies included) too, and so do rows without an id.
+    Rows without an id or without words stay as they are.
     """
-    kept = near_duplicates(documents, k, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return documents.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    drawn, known = _judged(documents, k, percent)
+    rows = drawn.filter("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text_hash", "digest")
+    placed = join_hubs(rows, known.select("digest", "component", "held"), "digest", rows.count())
+    texts = placed.groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    first = texts.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("one")).select("one.*")
+    first = cut(first.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "n"))
+    words = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    held = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), (~words | F.col("doc_id").isNull()).alias("free")
+    )
+    marked = held.join(first, ["id", "hash"], "left")
+    single = marked.filter("free OR n = 1").select("row.*")
+    if first.filter("n > 1").isEmpty():
+        return single
+    return single.unionByName(marked.filter("NOT free AND n > 1").dropDuplicates(["id", "hash"]).select("row.*"))

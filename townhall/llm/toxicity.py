@@ -351,7 +351,9 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Netw
         return Constant(counts.get(1, 0) / total if total else 0.0)
     parts = [usable.filter(F.col("_toxic") == k).orderBy(F.xxhash64("_of"), "_of").limit(sample) for k in (0, 1)]
     picked = F.broadcast(parts[0].union(parts[1]))  # 2 x sample rows of two numbers
-    rows = documents.join(picked, F.col("doc_id") == F.col("_of")).select("doc_id", "text", "_toxic").collect()
+    labelled = documents.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("_of"))
+    # An id counts once with its first text by code point, however many rows repeat it.
+    rows = labelled.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text or "", r._toxic))
     y = np.array([r._toxic for r in rows])
     if len(set(y.tolist())) < 2:

@@ -52,7 +52,7 @@ SORT_COST, ROUND_ROWS = 1000, 1 << 18
 #: Windows that a span of rows is long.
 SPAN_WINDOWS = 8
 #: Members of a component that are compared as one block; past ``MANY`` blocks these grow.
-BLOCK, MANY = 512, 64
+BLOCK, MANY = 128, 32
 #: Rows and bytes of a block at most, and the fewest blocks of a whole table.
 WIDE, BLOCK_BYTES, LEAST_BLOCKS = 65536, 16 << 20, 8
 #: Vectors that are multiplied at once; rows that a task is worth, and the fewest tasks.
