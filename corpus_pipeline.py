@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs. All but the last return the columns of ``documents``. ``run`` applies
-them one after the other, with each result in the shared checkpoint folder.
+them one after the other, with each result as Parquet in the shared checkpoint folder.
+
+Empty tables pass through every stage. Rows without an id are never near copies; rows that repeat an
+id are judged each by its own text. Columns beyond those of ``documents`` stay until the last stage.
 
 The middle stages hash in ways that SQL does not, so there is no SQL for the whole; tests hold
 each stage and the run against brute force.
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from townhall.llm import bpe, lines, mixing, sketch, toxicity
-from townhall.llm.common import cut, table
+from townhall.llm.common import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +59,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = cut(docs)
+            docs = stored(docs, name)
     return docs
