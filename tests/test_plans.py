@@ -258,6 +258,31 @@ def test_wage_panel(spark, tmp_path):
     assert "| Springfield | 2019-2019 | 1 |" in lines
 
 
+def test_layouts_and_members(spark, tmp_path):
+    """Latin-1 members, workbooks, headers that differ by file, blank area names, bad slices."""
+    from townhall.round_trips import _archives, _workbook, _zip
+
+    folder = "/root/testdata/sf0.001"
+    rows = readers.zip_rows(_archives(spark, folder))
+    assert rows.filter("exists(cells, c -> c like '% é')").select("path").distinct().count() == 2
+    assert [r.path for r in rows.filter("error IS NOT NULL").collect()] == ["oesm21st.zip"]
+    book = spark.createDataFrame([("b.xlsx", bytearray(_workbook([["a", "b"], ["1", ""]]))), ("c.zip", bytearray(_zip({"x.xlsx": b"no book"})))], "path string, content binary")
+    got = readers.zip_rows(book).orderBy("path", "row").collect()
+    assert [(r.path, r.cells) for r in got[:2]] == [("b.xlsx", ["a", "b"]), ("b.xlsx", ["1", ""])] and got[2].error
+    blank = "area_title,occ_code,tot_emp,x\n,11-1,5,\n"
+    files = spark.createDataFrame([("oesm19ma.zip", bytearray(_zip({"a.csv": blank.encode()})))], "path string, content binary")
+    panel, _ = panels.wage_panel(files, panels.Scope((F.lit(True),), "all", label="Springfield"))
+    assert [r.area_name for r in panel.collect()] == ["Springfield"]
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "1.csv").write_text("note\na,b\n1,x\n")
+    (tmp_path / "p" / "2.csv").write_text("note\nb,c\ny,2\n")
+    (tmp_path / "p" / "3.csv").write_text("too short")
+    both = readers.read_csv(spark, str(tmp_path / "p"), header=1)
+    assert sorted((r.a or "", r.b, r.c or "") for r in both.collect()) == [("", "y", "2"), ("1", "x", "")]
+    typed = readers.read_csv(spark, str(tmp_path / "p"), "c INT, a INT, z STRING", header=1)
+    assert typed.columns == ["c", "a", "z"] and sorted((r.c or 0, r.a or 0, r.z) for r in typed.collect()) == [(0, 1, None), (2, 0, None)]
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("preamble\nfips,n\n08013,1\n08014,x\n")
     df = readers.read_csv(spark, str(tmp_path / "a.csv"), header=1)

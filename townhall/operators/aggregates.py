@@ -60,8 +60,9 @@ def described(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def bands(value: str, points: tuple[int, ...] = (5, 25, 50, 75, 95)) -> list[Column]:
-    """Exact, linearly interpolated percentiles p5, p25, ..."""
-    return [F.percentile(value, p / 100).alias(f"p{p}") for p in points]
+    """Exact, linearly interpolated percentiles p5, p25, ..., all from one buffer of distinct values."""
+    all_of = F.percentile(value, [p / 100 for p in points])
+    return [all_of[i].alias(f"p{p}") for i, p in enumerate(points)]
 
 
 def tally_map(df: DataFrame, key: str, out: str = "tally") -> DataFrame:
@@ -100,3 +101,23 @@ def linreg_inference(df: DataFrame, x: str, y: str) -> dict[str, float]:
     stderr = math.sqrt(max(0.0, (1 - r * r) * syy / sxx / (n - 2)))
     p = t_two_sided(slope / stderr, n - 2) if stderr else 0.0
     return {"n": n, "slope": slope, "intercept": intercept, "r": r, "stderr": stderr, "p": p}
+
+
+def mean_interval(df: DataFrame, keys: list[str], row: str, value: str, draws: int = 200, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """keys, n, mean, low, high: the mean with its percentile interval over Poisson bootstrap draws.
+
+    A row's weight in a draw follows from a hash of its ``row`` number, so draws need no order and agree
+    on any partitioning. Only sums by (keys, draw) are shuffled.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    u = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(seed), F.col("draw"), F.col(row).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
+    below, term, weight = math.exp(-1), math.exp(-1), F.lit(0)
+    for k in range(1, 12):  # a Poisson count of mean 1, by its distribution function
+        weight = F.when(u >= below, F.lit(k)).otherwise(weight)
+        term /= k
+        below += term
+    drawn = known.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    means = drawn.groupBy(*keys, "draw").agg((F.sum(F.col(value) * F.col("w")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ends = F.percentile("m", [(1 - level) / 2, (1 + level) / 2])
+    spread = means.groupBy(*keys).agg(ends[0].alias("low"), ends[1].alias("high"))
+    return known.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).join(spread, keys)

@@ -83,3 +83,13 @@ def by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataF
     left = a.withColumn("_n", F.row_number().over(Window.orderBy(order_a)))
     right = b.withColumn("_n", F.row_number().over(Window.orderBy(order_b)))
     return left.join(right, "_n").drop("_n")
+
+
+def transposed(df: DataFrame, key: str, columns: list[str], domain: list) -> DataFrame:
+    """One row for each of ``columns``, one column for each value of ``key`` in ``domain``."""
+    return long_to_wide(wide_to_long(df, [key], columns, "name", "value"), ["name"], key, domain, F.first("value"))
+
+
+def column_sets(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
+    """Names in both, only in ``a`` and only in ``b``, in their order."""
+    return {"both": [c for c in a.columns if c in b.columns], "left": [c for c in a.columns if c not in b.columns], "right": [c for c in b.columns if c not in a.columns]}

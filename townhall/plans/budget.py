@@ -105,13 +105,13 @@ def public_tally(df: DataFrame) -> DataFrame:
     """
     revenue, spend = F.coalesce(F.col("revenue_total"), F.lit(0.0)), F.coalesce(F.col("spend_change"), F.lit(0.0))
     denominator = revenue + F.greatest(F.lit(0.0), -spend)
-    main = df.agg(
-        F.count("*").alias("n"), F.count_if("used_revenue").alias("usedRevenue"), F.count_if("used_vote").alias("usedVote"), F.count_if("used_reserves").alias("usedReserves"),
-        F.coalesce(F.sum(F.when(denominator > 0, revenue / denominator).otherwise(0.0)), F.lit(0.0)).alias("revShareSum"),
-    )
-    cuts = df.filter(F.col("top_cut").isNotNull()).groupBy("top_cut").agg(F.count("*").alias("c"))
-    tally = cuts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("top_cut", "c")))).alias("cutTally"))
-    return main.crossJoin(tally)
+    share = F.when(denominator > 0, revenue / denominator).otherwise(0.0)
+    flags = {"usedRevenue": "used_revenue", "usedVote": "used_vote", "usedReserves": "used_reserves"}
+    cuts = df.groupBy("top_cut").agg(F.count("*").alias("n"), *[F.count_if(c).alias(k) for k, c in flags.items()], F.sum(share).alias("revShareSum"))
+    total = lambda c, zero: F.coalesce(F.sum(c), F.lit(zero)).alias(c)
+    named = F.when(F.col("top_cut").isNotNull(), F.struct("top_cut", F.col("n").alias("c")))
+    tally = F.map_from_entries(F.array_sort(F.collect_list(named))).alias("cutTally")
+    return cuts.agg(total("n", 0), *[total(k, 0) for k in flags], total("revShareSum", 0.0), tally)
 
 
 def tally_json(tally: DataFrame) -> DataFrame:

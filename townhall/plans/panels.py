@@ -46,14 +46,15 @@ class Scope:
     predicates: tuple[Column, ...]
     otherwise: str = "none"
     area_name: str | None = None
+    label: str | None = None
 
 
 def metro(name: str, codes: list[str]) -> Scope:
-    return Scope((F.col("area_name").rlike(f"(?i){name}"), F.trim("area_code").isin(codes)))
+    return Scope((F.col("area_name").rlike(f"(?i){name}"), F.trim("area_code").isin(codes)), label=name)
 
 
 def state(name: str, abbreviation: str, fips: list[str]) -> Scope:
-    return Scope((F.trim("area_name").rlike(f"(?i)^{name}$"), F.upper(F.trim("prim_state")) == abbreviation, F.trim("area_code").isin(fips)))
+    return Scope((F.trim("area_name").rlike(f"(?i)^{name}$"), F.upper(F.trim("prim_state")) == abbreviation, F.trim("area_code").isin(fips)), label=name)
 
 
 def national(label: str = "U.S.") -> Scope:
@@ -78,6 +79,9 @@ def wage_panel(files: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame]:
     dated = kept.withColumn("year", year_in_name(F.element_at(F.split("path", "/"), -1)))
     if scope.area_name:
         dated = dated.withColumn("area_name", F.lit(scope.area_name))
+    elif scope.label:  # only where no row of the panel has a name
+        blank = dated.agg((F.count(F.nullif(F.trim("area_name"), F.lit(""))) == 0).alias("blank"))
+        dated = dated.crossJoin(F.broadcast(blank)).withColumn("area_name", F.when(F.col("blank"), F.lit(scope.label)).otherwise(F.col("area_name"))).drop("blank")
     place = ["path", "member", "row"]
     panel = keep_first(dated.filter(F.col("occ_code").isNotNull()), ["year", "occ_code"], place).orderBy("year", "occ_code", *place)
     return canonical(panel, ORDER), rows.filter("error IS NOT NULL").select("path", "member", "error")

@@ -528,11 +528,24 @@ def coherence(spark, d):
     return documents.coherence(_vectors(spark, d), "label", "embedding").withColumn("coherence", r("coherence"))
 
 
-@query()
+def _strategy(name: str, pool: str) -> str:
+    """A pooling strategy's vectors and pairs as SQL tables ``{name}p`` and ``{name}s``."""
+    return f"""{name}n AS (SELECT label, sqrt(sum(m * m)) AS n FROM {pool} GROUP BY 1),
+{name}p AS (SELECT q.label, i, m / n AS x FROM {pool} q JOIN {name}n USING (label)),
+{name}s AS (SELECT a.label AS a, b.label AS b, sum(a.x * b.x) AS similarity FROM {name}p a JOIN {name}p b ON a.i = b.i AND a.label < b.label GROUP BY 1, 2)"""
+
+
+@query(f"""WITH f AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+wm AS (SELECT label, i, sum(x * (vec_id % 7 + 1)) / sum(vec_id % 7 + 1) AS m FROM f GROUP BY 1, 2), mm AS (SELECT label, i, avg(x) AS m FROM f GROUP BY 1, 2),
+fm AS (SELECT label, i, arg_min(x, vec_id) AS m FROM f GROUP BY 1, 2), {_strategy("w", "wm")}, {_strategy("m", "mm")}, {_strategy("f", "fm")},
+o AS (SELECT 'mean' AS strategy, a, b, similarity FROM ms UNION ALL SELECT 'first', a, b, similarity FROM fs)
+SELECT strategy, round(avg(o.similarity - w.similarity), 6) AS mean_difference, round(corr(o.similarity, w.similarity), 6) AS correlation
+FROM o JOIN ws w ON o.a = w.a AND o.b = w.b GROUP BY 1""")
 def strategy_differences(spark, d):
     v = _vectors(spark, d).withColumns({"n_tokens": F.col("vec_id") % 7 + 1, "chunk_idx": F.col("vec_id")})
     pairs = {s: documents.pair_similarity(documents.pooled_by(v, "label", "embedding", s), "label", "pooled") for s in ("weighted", "mean", "first")}
-    return documents.strategy_differences(pairs, "weighted")
+    out = documents.strategy_differences(pairs, "weighted")
+    return out.withColumns({"mean_difference": r("mean_difference"), "correlation": r("correlation")})
 
 
 @query()

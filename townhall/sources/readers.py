@@ -6,7 +6,9 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,23 +16,48 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: str | StructType | None = None, header: int = 0, sep: str = ",") -> DataFrame:
+def read_csv(
+    spark: SparkSession, paths: str | list[str], schema: str | StructType | None = None, header: int = 0, sep: str = ",", infer: bool = False, dates: str | None = None
+) -> DataFrame:
     """CSV parts with their header on line ``header`` of each file.
 
-    Lines before the header are dropped by their number within the file, taken from the file itself
-    (one file is one text value only where there is a preamble). Without a schema all columns are text.
+    Without a schema all columns are text, or of the types that ``infer`` finds in the data; ``dates``
+    is the pattern of dates. Lines before the header are dropped by their number within the file, and
+    each file's columns go by its own header: files may differ in order, a column that one lacks is
+    missing there. Where there is a preamble a file is one text value, and quoted line ends break rows.
     """
     parts = [paths] if isinstance(paths, str) else paths
+    options = {"sep": sep} | ({"dateFormat": dates} if dates else {})
     if header == 0:
-        reader = spark.read.option("header", True).option("sep", sep)
+        reader = spark.read.options(header=True, inferSchema=infer and schema is None, **options)
         return (reader.schema(schema) if schema is not None else reader).csv(parts)
-    whole = spark.read.text(parts, wholetext=True)
-    first = whole.first()[0].splitlines()[header]
-    names = next(csv.reader([first], delimiter=sep))
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("_i", "_line")).filter((F.col("_i") > header) & (F.trim("_line") != ""))
-    shape = schema if schema is not None else ", ".join(f"`{n}` STRING" for n in names)
-    shape = shape.simpleString()[7:-1].replace(":", " ") if isinstance(shape, StructType) else shape
-    return lines.select(F.from_csv("_line", F.lit(shape), {"sep": sep}).alias("_r")).select("_r.*")
+    whole = spark.read.text(parts, wholetext=True).select(F.split("value", "\r?\n").alias("_lines"))
+    headed = whole.withColumn("_head", F.try_element_at("_lines", F.lit(header + 1))).filter("_head IS NOT NULL")
+    heads = sorted(r[0] for r in headed.select("_head").distinct().collect())  # the layouts there are
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    kinds = {f.name: f.dataType.simpleString() for f in kinds} if kinds is not None else None
+    read = []
+    for head in heads:
+        names = next(csv.reader([head], delimiter=sep))
+        shape = ", ".join(f"`{n}` {(kinds or {}).get(n, 'string')}" for n in names)
+        lines = headed.filter(F.col("_head") == head).select(F.posexplode("_lines").alias("_i", "_line")).filter((F.col("_i") > header) & (F.trim("_line") != ""))
+        read.append(lines.select(F.from_csv("_line", F.lit(shape), options).alias("_r")).select("_r.*"))
+    if not read:
+        return spark.createDataFrame([], kinds and ", ".join(f"`{n}` {k}" for n, k in kinds.items()) or "value string")
+    out = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), read)
+    return out if kinds is None else out.select(*[F.col(f"`{n}`") if n in out.columns else F.lit(None).cast(k).alias(n) for n, k in kinds.items()])
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a file that is one JSON array of objects, such as a configuration."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def valid_slices(files: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:
+    """path, valid of whole text files (path, value): whether the first line names all ``columns``."""
+    names = F.transform(F.split(F.regexp_extract("value", "^\\ufeff?([^\r\n]*)", 1), f"[{sep}]"), lambda c: F.lower(F.trim(F.regexp_replace(c, '"', ""))))
+    wanted = F.array(*[F.lit(c.lower()) for c in columns])
+    return files.select("path", (F.size(F.array_except(wanted, names)) == 0).alias("valid"))
 
 
 def read_text_catalogue(spark: SparkSession, folder: str, catalogue: DataFrame, name: str = "file") -> DataFrame:
@@ -58,7 +85,7 @@ def header_row_json(raw: Column, names: list[str]) -> list[Column]:
     table = F.from_json(raw, "array<array<string>>")
     head = F.try_element_at(table, F.lit(1))
     row = F.try_element_at(table, F.lit(2))
-    return [F.try_element_at(row, F.array_position(head, n).cast("int")).try_cast("double").alias(n) for n in names]
+    return [F.try_element_at(row, F.nullif(F.array_position(head, n).cast("int"), F.lit(0))).try_cast("double").alias(n) for n in names]
 
 
 def observations(raw: DataFrame, column: str) -> DataFrame:
@@ -77,17 +104,57 @@ def separator_of(text: str) -> str | None:
     return None
 
 
-#: Members of archives that are no tables.
+#: Members of archives that are no tables, and the name space of workbook sheets.
 NO_TABLE = r"(^~\$)|(\baMSA)|(\bBOS)|(field_desc)|(file_desc)|(readme)|(layout)|(glossary)"
 
 
-def zip_rows(files: DataFrame, skip: str = NO_TABLE, keep: str = r"\.(csv|txt)$") -> DataFrame:
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def sheet_rows(content: bytes) -> Iterator[list[str]]:
+    """The cells of a workbook's first sheet, row by row, as text; gaps are empty."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in item.iter(f"{SHEET}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{SHEET}si")]
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/[^/]+\.xml", n)), key=lambda n: (len(n), n))
+        for row in ElementTree.fromstring(book.read(first)).iter(f"{SHEET}row"):
+            cells: list[str] = []
+            for cell in row.iter(f"{SHEET}c"):
+                letters = re.sub("[^A-Z]", "", cell.get("r", ""))
+                at = reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0) - 1 if letters else len(cells)
+                cells += [""] * (at + 1 - len(cells))
+                value = cell.find(f"{SHEET}v")
+                if cell.get("t") == "inlineStr":
+                    cells[at] = "".join(t.text or "" for t in cell.iter(f"{SHEET}t"))
+                elif value is not None and value.text is not None:
+                    cells[at] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+            yield cells
+
+
+def zip_rows(files: DataFrame, skip: str = NO_TABLE, keep: str = r"\.(csv|txt|xlsx)$", encoding: str = "latin-1") -> DataFrame:
     """(path, member, row, cells, error) of the tables inside archives (``binaryFile`` rows).
 
-    A bad archive or member gives one row that carries its error; the others still come.
+    Workbooks give their first sheet, as members or (with no member) as files of their own. A bad
+    archive or member gives one row that carries its error; the others still come.
     """
     no, yes = re.compile(skip, re.I), re.compile(keep, re.I)
 
+    def separated(raw: bytes) -> Iterator[list[str]]:
+        text = raw.decode(encoding, "replace")
+        sep = separator_of(text)
+        if sep is None:
+            raise ValueError("no separator gives more than three columns")
+        yield from csv.reader(io.StringIO(text), delimiter=sep)
+
+    def table(path: str, name: str | None, rows: Callable[[], Iterator[list[str]]]) -> Iterator[tuple]:
+        try:
+            for i, cells in enumerate(rows()):
+                yield path, name, i, [c.strip() for c in cells], None
+        except Exception as e:  # noqa: BLE001  whatever a member holds, the others count
+            yield path, name, None, None, str(e)
+
     def members(path: str, content: bytes) -> Iterator[tuple]:
         try:
             archive = zipfile.ZipFile(io.BytesIO(content))
@@ -95,18 +162,16 @@ def zip_rows(files: DataFrame, skip: str = NO_TABLE, keep: str = r"\.(csv|txt)$"
         except (zipfile.BadZipFile, ValueError) as e:
             yield path, None, None, None, str(e)
             return
+        if "[Content_Types].xml" in names:
+            yield from table(path, None, lambda: sheet_rows(content))
+            return
         for name in names:
             if no.search(name.rsplit("/", 1)[-1]) or not yes.search(name):
                 continue
-            try:
-                text = archive.read(name).decode("utf-8", "replace")
-                sep = separator_of(text)
-                if sep is None:
-                    raise ValueError("no separator gives more than three columns")
-                for i, cells in enumerate(csv.reader(io.StringIO(text), delimiter=sep)):
-                    yield path, name, i, [c.strip() for c in cells], None
-            except Exception as e:  # noqa: BLE001  whatever a member holds, the others count
-                yield path, name, None, None, str(e)
+            if name.lower().endswith(".xlsx"):
+                yield from table(path, name, lambda name=name: sheet_rows(archive.read(name)))
+            else:
+                yield from table(path, name, lambda name=name: separated(archive.read(name)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

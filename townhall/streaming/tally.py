@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.budget import public_tally, validated
+from ..plans.budget import public_tally, stamped, validated
 
 
 def read_submissions(spark: SparkSession, path: str, schema: str, form: str = "json") -> DataFrame:
@@ -32,7 +32,7 @@ def keep_tally(stream: DataFrame, demographics: list[str], log: str, tally: str,
         at = F.lit(number).alias("batch")
         session = rows.sparkSession
         session.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        good.select("*", at).write.mode("overwrite").partitionBy("batch").parquet(log)
+        stamped(good).select("*", at).write.mode("overwrite").partitionBy("batch").parquet(log)
         if rejected:
             bad.select("*", at).write.mode("overwrite").partitionBy("batch").parquet(rejected)
         refresh(session, log, tally)
