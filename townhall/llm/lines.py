@@ -48,13 +48,13 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> D
     return both.filter(F.col("n") > F.col("total") * ratio).select("_host", "_line")
 
 
-def drop_lines(pages: DataFrame, page_id: Column, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, same: Column | None = None) -> DataFrame:
-    """row (the page's own columns), _host, _kept (lines that stay) and _lines (their number before).
+def drop_lines(pages: DataFrame, page_id: Column, site: Column, lines: Column, ratio: float = RATIO, least: int = LEAST, same: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """row (the page's own columns, or those of ``carry``), _host, _kept (lines that stay) and _lines (their number before).
 
     Pages of one site that agree in ``same`` are counted as one.
     """
     hashes = lambda a: F.transform(a, lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
-    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in carry or pages.columns])
     full = pages.select(row.alias("row"), page_id.alias("_page"), site.alias("_host"), lines.alias("_all"), (F.lit(0) if same is None else same).alias("_same"))
     hashed = full.select("_page", "_host", "_same", F.filter(hashes(F.col("_all")), lambda x: x.isNotNull()).alias("_hashes"))
     counted = hashed if same is None else hashed.groupBy("_host", "_same").agg(F.first("_hashes").alias("_hashes"))
@@ -70,7 +70,7 @@ def drop_lines(pages: DataFrame, page_id: Column, site: Column, lines: Column, r
 
 def clean_pages(pages: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """page_id, host, text (kept lines joined by line ends), n_lines, n_removed."""
-    done = drop_lines(pages.select("page_id", "url", "html"), F.col("page_id"), host(F.col("url")), html_lines(F.col("html")), ratio, least)
+    done = drop_lines(pages, F.col("page_id"), host(F.col("url")), html_lines(F.col("html")), ratio, least, carry=["page_id"])
     return done.select(
         "row.page_id", F.col("_host").alias("host"), F.array_join("_kept", "\n").alias("text"),
         F.col("_lines").cast("long").alias("n_lines"), (F.col("_lines") - F.size("_kept")).cast("long").alias("n_removed"),
