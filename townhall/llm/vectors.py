@@ -48,7 +48,7 @@ MISS, MOST, WINDOWS = 1e-5, 192, (256, 512, 1024, 2048, 4096)
 #: Evenly drawn probes, probes from the most crowded prefixes, and trial passes to count them in.
 PROBES, CROWDED, TRIALS = 128, 48, 32
 #: What sorting and joining a row for a pass costs, in comparisons; rows of passes that run together.
-SORT_COST, ROUND_ROWS = 1000, 1 << 18
+SORT_COST, ROUND_ROWS = 4000, 1 << 18
 #: Windows that a span of rows is long.
 SPAN_WINDOWS = 8
 #: Members of a component that are compared as one block; past ``MANY`` blocks these grow.
