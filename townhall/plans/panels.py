@@ -27,13 +27,21 @@ SYNONYMS = {
     "mean_prse": ["mean_prse"],
     "h_median": ["h_median", "hrly_median"],
     "a_median": ["a_median", "annl_median"],
-    **{f"{k}_pct{p}": [f"{k}_pct{p}", f"{k}_wpct{p}"] for k in "ha" for p in (10, 25, 75, 90)},
+    "h_pct10": ["h_pct10", "h_wpct10"],
+    "h_pct25": ["h_pct25", "h_wpct25"],
+    "h_pct75": ["h_pct75", "h_wpct75"],
+    "h_pct90": ["h_pct90", "h_wpct90"],
+    "a_pct10": ["a_pct10", "a_wpct10"],
+    "a_pct25": ["a_pct25", "a_wpct25"],
+    "a_pct75": ["a_pct75", "a_wpct75"],
+    "a_pct90": ["a_pct90", "a_wpct90"],
     "jobs_1000": ["jobs_1000"],
     "loc_quotient": ["loc_quotient", "loc quotient", "loc_q"],
     "annual": ["annual"],
     "hourly": ["hourly"],
 }
 ORDER = ["year", *SYNONYMS]
+#: Headers that mark a table, and the names and codes of the whole country.
 OCCUPATION = ["occ_code", "occ_title", "occ_titl"]
 NATIONAL_NAME = r"(?i)^\s*(u\.?\s?s\.?|united states|u\.?s\.? total|national|all u\.?s\.?)\s*$"
 NATIONAL_CODES = ["99", "0000000", "00000", "N0000000", "099", "1"]
