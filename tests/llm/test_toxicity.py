@@ -1,6 +1,7 @@
-"""The network's gradients, its held-out accuracy, and its edge cases."""
+"""The network's gradients, its scores by plain loops, its held-out accuracy, and its edge cases."""
 
 import pathlib
+import random
 import re
 import zlib
 
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from townhall.llm import toxicity
+from townhall.llm import common, toxicity
 
 #: Some of its toxic labels mark texts without any sign of it.
 DATA = "/root/testdata/sf0.1"
@@ -45,6 +46,83 @@ def test_gradients():
         assert g[at] == pytest.approx((up - down) / 2e-3, rel=0.02, abs=1e-7), name
 
 
+def plain_score(net, text):
+    """One document by loops: words, their bytes' runs, windows, one recurrent step at a time."""
+    small = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    found = re.findall(r"[^\x20\x09-\x0D]+", small)
+    if not found:
+        return 0.0
+    full, p, h = 1 << 64, {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def finished(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 % full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB % full
+        return x ^ (x >> 31)
+
+    def joined(values):
+        marked = [256, *values, 257]
+        return [finished(((a * 0x9FB21C651E98DF25 + b) * 0xD6E8FEB86659FD93 + c) % full) for a, b, c in zip(marked, marked[1:], marked[2:])]
+
+    def vector(word):
+        raw = word.encode()
+        three = joined(list(raw))
+        runs = [r % toxicity.GRAMS for r in three + joined(three)]
+        out = sum(p["gram"][r] for r in runs) / len(runs)
+        key = common.word_hashes(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), fold=False)[0]
+        at = np.flatnonzero(net.known == key)
+        return out + p["word"][at[0]] if len(at) else out
+
+    def states(inputs, side, u):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            i = (x @ p["in"] + p["in_b"])[side : side + 3 * h]
+            g = state @ u
+            z, r = sigmoid(i[:h] + g[:h]), sigmoid(i[h : 2 * h] + g[h : 2 * h])
+            new = np.tanh(i[2 * h :] + r * g[2 * h :])
+            state = (1 - z) * new + z * state
+            out.append(state)
+        return out
+
+    best, start = -np.inf, 0
+    while True:
+        x = [vector(w) for w in found[start : start + toxicity.WINDOW]]
+        ahead, back = states(x, 0, p["fwd"]), states(x[::-1], 3 * h, p["bwd"])[::-1]
+        both = [np.concatenate(s) for s in zip(ahead, back)]
+        lean = np.array([np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"] for s in both])
+        weight = np.exp(lean - lean.max())
+        best = max(best, sum(w * s for w, s in zip(weight / weight.sum(), both)) @ p["out"] + p["out_b"][0])
+        if start + toxicity.WINDOW >= len(found):
+            return float(sigmoid(net.scale * best + net.shift))
+        start += toxicity.STRIDE
+
+
+def test_scores_are_those_of_plain_loops():
+    rng = random.Random(4)
+    vocabulary = ["the", "Cat", "sat", "é", "ünd", "x", "worthless", "IDIOT", "a" * 300] + [f"w{i}" for i in range(60)]
+    draw = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    clean, bad = [draw(rng.randint(1, 90)) for _ in range(30)], [draw(rng.randint(0, 90)) + " you worthless IDIOT" for _ in range(30)]
+    net = toxicity.fit(pa.array(clean + bad, pa.large_string()), np.repeat([0, 1], 30), 0.2, steps=60)
+    seen = [None, "", " \n", "Idiot", *clean[:4], *bad[:4], draw(31), draw(32), draw(33), draw(48), draw(49), draw(700) + "\x0b\x1f worthless"]
+    want = [plain_score(net, t) for t in seen]
+    assert net.scores(pa.array(seen, pa.large_string())).tolist() == pytest.approx(want, abs=1e-4)
+    assert len({round(s, 3) for s in want}) > 5
+
+
+def test_repeats_and_ties(spark):
+    """Equal texts score alike wherever they stand; one long text among short ones changes nothing."""
+    rows = [(i % 7, "you worthless idiot" if i % 2 else "the cat sat") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(7)] * 2, "doc_id long, toxic int")
+    documents = spark.createDataFrame([*rows, (0, "the cat sat " * 200_000), *rows], "doc_id long, text string")
+    out = toxicity.judged(documents, labels)
+    assert out.count() == 81
+    model = toxicity.learn(documents, labels)
+    scored = toxicity.score(documents, model).filter(F.length("text") < 100).groupBy("text").agg(F.max("_toxicity") - F.min("_toxicity"))
+    assert [r[1] for r in scored.collect()] == pytest.approx([0, 0], abs=1e-6)
+
+
 def test_every_word_is_in_a_window():
     for n in (0, 1, 31, 32, 33, 48, 49, 200, 1001):
         t = toxicity.Texts(pa.array(["a", " ".join(f"w{i}" for i in range(n)), "b"]))

@@ -14,7 +14,10 @@ the calibration are over all labelled rows. The model (a few MB, whatever the co
 
 Nulls: texts without words, null ones too, score 0. Labels other than 0 and 1 are not used;
 without labels of both kinds every score is the share of toxic labels (0 without any). Only text is
-ever an input; other columns pass through ``score`` untouched.
+ever an input; other columns pass through ``score`` untouched. Equal texts score alike, repeated rows
+one by one; an id that repeats is learned from its first text by code point, one labelled twice at
+odds under both labels. A tie at ``THRESHOLD`` is toxic. Empty tables give empty results. A text of
+any length is read whole, alone where it is longer than a piece.
 """
 
 from __future__ import annotations
