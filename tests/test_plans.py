@@ -114,6 +114,19 @@ def test_raking_against_a_row_loop(spark):
     assert n_eff == pytest.approx(w.sum() ** 2 / (w**2).sum()) and n_eff <= len(w)
 
 
+def test_chi2_grid_is_a_screen_of_each_pair(spark):
+    rows = [(["a", "b", "c", "Prefer not to say", None][i % 5], ["x", "y"][i % 2], (i * 7) % 11 < 4 + i % 3, ["u", "v", None][i * i % 3]) for i in range(400)] + [("rare", "x", True, "u")] * 3
+    df = spark.createDataFrame(rows, "g string, h string, flag boolean, w string")
+    found = {(r["item"], r.outcome): r for r in survey.chi2_grid(df, ["g", "h"], ["flag", "w"]).collect()}
+    for g in "gh":
+        for b in ("flag", "w"):
+            want = survey.chi2_screen(df, g, b)
+            assert found[g, b].dof == want["dof"]
+            assert [found[g, b].chi2, found[g, b].p] == pytest.approx([want["chi2"], want["p"]])
+    assert survey.chi2_grid(df.filter("h = 'x'"), ["h"], ["w"]).count() == 0
+    assert survey.chi2_grid(df.limit(0), ["g", "h"], ["w"]).count() == 0
+
+
 def test_chi2_screen(spark):
     rows = [("a", True)] * 30 + [("a", False)] * 20 + [("b", True)] * 10 + [("b", False)] * 40 + [("few", True)] * 3 + [("Prefer not to say", True)] * 50
     out = survey.chi2_screen(spark.createDataFrame(rows, "g string, b boolean"), "g", "b")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from townhall.functions import semantics as s
-from townhall.functions.tails import beta_lower, chi2_tail, gamma_upper, t_two_sided
+from townhall.functions.tails import beta_lower, chi2_tail, chi2_tail_of, gamma_upper, t_two_sided
 from townhall.operators import bins, reshape, selection, series
 
 
@@ -139,3 +139,10 @@ def test_tails():
     assert t_two_sided(1.0, 1) == pytest.approx(0.5)
     assert gamma_upper(1, 2) == pytest.approx(math.exp(-2))
     assert beta_lower(2, 3, 0.4) == pytest.approx(0.5248)
+
+
+def test_tail_columns(spark):
+    rows = [(x, m) for m in (0, 1, 2, 3, 4, 7, 10, 31) for x in (0.0, 1e-6, 0.3, 2.0, 7.9, 8.1, 40.0, 300.0)]
+    df = spark.createDataFrame(rows, "x double, m long").withColumn("p", chi2_tail_of(F.col("x"), F.col("m")))
+    for x, m, p in df.collect():
+        assert p == pytest.approx(chi2_tail(x, m), rel=1e-11, abs=1e-300), (x, m)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.semantics import any_of, flag, row_mean, safe_div
-from ..functions.tails import chi2_tail
+from ..functions.tails import chi2_tail, chi2_tail_of
 
 NO_ANSWER = ("Prefer not to say",)
 
@@ -31,23 +31,27 @@ def topline(df: DataFrame, flags: list[str]) -> DataFrame:
     return df.agg(F.array(*[one(c) for c in flags]).alias("_a")).select(F.inline("_a")).orderBy(F.desc("share"), "flag")
 
 
+def _screened(counts: DataFrame, by: list[str], least: int) -> DataFrame:
+    """by, group, behaviour, n, row_share, expected of counted cells, over the groups that are large enough."""
+    rows, cols, all_ = Window.partitionBy(*by, "group"), Window.partitionBy(*by, "behaviour"), Window.partitionBy(*by)
+    large = counts.withColumn("rows", F.sum("n").over(rows)).filter((F.col("rows") >= least) & F.col("behaviour").isNotNull())
+    sums = large.withColumns({"r": F.sum("n").over(rows), "c": F.sum("n").over(cols), "t": F.sum("n").over(all_)})
+    return sums.select(*by, "group", "behaviour", "n", (F.col("n") / F.col("r")).alias("row_share"), (F.col("r") * F.col("c") / F.col("t")).alias("expected"))
+
+
 def screened_counts(df: DataFrame, group: str, behaviour: str, least: int = 10, drop: tuple[str, ...] = NO_ANSWER) -> DataFrame:
     """group, behaviour, n, row_share, expected over the groups that are large enough."""
     kept = df.filter(answered(F.col(group), drop)).select(F.col(group).alias("group"), F.col(behaviour).cast("string").alias("behaviour"))
-    counts = kept.groupBy("group", "behaviour").agg(F.count("*").alias("n"))
-    large = counts.withColumn("rows", F.sum("n").over(Window.partitionBy("group"))).filter((F.col("rows") >= least) & F.col("behaviour").isNotNull())
-    rows, cols, all_ = Window.partitionBy("group"), Window.partitionBy("behaviour"), Window.partitionBy()
-    sums = large.withColumns({"r": F.sum("n").over(rows), "c": F.sum("n").over(cols), "t": F.sum("n").over(all_)})
-    return sums.select("group", "behaviour", "n", (F.col("n") / F.col("r")).alias("row_share"), (F.col("r") * F.col("c") / F.col("t")).alias("expected"))
+    return _screened(kept.groupBy("group", "behaviour").agg(F.count("*").alias("n")), [], least)
 
 
-def chi2_statistic(counts: DataFrame) -> DataFrame:
-    """groups, dof, chi2 of ``screened_counts``; with one degree of freedom, Yates' correction applies.
+def chi2_statistic(counts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, groups, dof, chi2 of ``screened_counts``; with one degree of freedom, Yates' correction applies.
 
     Combinations that do not occur have count 0 and their expectation still counts: over all cells,
     sum((n - e)^2 / e) = sum over occurring cells + the expectations of the others.
     """
-    one = counts.agg(
+    one = counts.groupBy(*by).agg(
         F.count_distinct("group").alias("groups"), F.count_distinct("behaviour").alias("behaviours"), F.sum("n").alias("t"), F.sum("expected").alias("seen"),
         F.sum((F.col("n") - F.col("expected")) ** 2 / F.col("expected")).alias("plain"), F.count("*").alias("cells"),
         F.sum(F.pow(F.greatest(F.abs(F.col("n") - F.col("expected")) - 0.5, F.lit(0.0)), F.lit(2)) / F.col("expected")).alias("yates"),
@@ -58,7 +62,7 @@ def chi2_statistic(counts: DataFrame) -> DataFrame:
     missing = F.col("t") - F.col("seen")
     shrunk = F.pow(F.greatest(missing - 0.5, F.lit(0.0)), F.lit(2)) / F.when(missing > 0, missing).otherwise(F.lit(1.0))
     value = F.when(dof == 1, F.col("yates") + F.when(full, F.lit(0.0)).otherwise(shrunk)).otherwise(F.col("plain") + F.when(full, F.lit(0.0)).otherwise(missing))
-    return one.select("groups", dof.alias("dof"), F.when(dof == 0, F.lit(0.0)).otherwise(value).alias("chi2"))
+    return one.select(*by, "groups", dof.alias("dof"), F.when(dof == 0, F.lit(0.0)).otherwise(value).alias("chi2"))
 
 
 def chi2_screen(df: DataFrame, group: str, behaviour: str, least: int = 10) -> dict[str, float] | None:
@@ -69,6 +73,20 @@ def chi2_screen(df: DataFrame, group: str, behaviour: str, least: int = 10) -> d
     return {"chi2": row.chi2, "dof": row.dof, "p": chi2_tail(row.chi2, row.dof)}
 
 
+def chi2_grid(df: DataFrame, groups: list[str], behaviours: list[str], least: int = 10, drop: tuple[str, ...] = NO_ANSWER) -> DataFrame:
+    """item, outcome, groups, dof, chi2, p for every pair of a grouping and a behaviour column; pairs
+    with fewer than two groups to compare are left out.
+
+    One scan: a row yields one cell for each pair, added up before the shuffle, so that what the windows
+    get is a few cells for each pair whatever the number of rows.
+    """
+    cell = lambda g, b: F.struct(F.lit(g).alias("item"), F.lit(b).alias("outcome"), F.col(g).cast("string").alias("group"), F.col(b).cast("string").alias("behaviour"))
+    cells = df.select(F.inline(F.array(*[cell(g, b) for g in groups for b in behaviours])))
+    counts = cells.filter(answered(F.col("group"), drop)).groupBy("item", "outcome", "group", "behaviour").agg(F.count("*").alias("n"))
+    out = chi2_statistic(_screened(counts, ["item", "outcome"], least), ("item", "outcome")).filter(F.col("groups") > 1)
+    return out.withColumn("p", chi2_tail_of(F.col("chi2"), F.col("dof")))
+
+
 def pool_distribution(df: DataFrame, column: str, targets: DataFrame, drop: tuple[str, ...] = NO_ANSWER) -> DataFrame:
     """category, pool and each benchmark of ``targets`` with its gap; categories nobody chose are 0."""
     counts = df.filter(answered(F.col(column), drop)).groupBy(F.col(column).alias("category")).agg(F.count("*").alias("n"))

@@ -240,6 +240,27 @@ def chi2_screen(spark, d):
     return out.select("groups", "dof", r("chi2", 6).alias("chi2"))
 
 
+@query("""WITH o AS (SELECT o_orderpriority AS priority, 'Q' || quarter(o_orderdate) AS "quarter", o_orderstatus AS status,
+  CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 200000 THEN 'middle' ELSE 'high' END AS price FROM orders),
+s AS (SELECT 'priority' AS item, 'status' AS outcome, priority AS g, status AS b FROM o UNION ALL SELECT 'priority', 'price', priority, price FROM o
+  UNION ALL SELECT 'quarter', 'status', "quarter", status FROM o UNION ALL SELECT 'quarter', 'price', "quarter", price FROM o),
+c AS (SELECT item, outcome, g, b, count(*)::DOUBLE AS n FROM s WHERE g IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+m AS (SELECT item, outcome, g, sum(n) AS r FROM c GROUP BY ALL HAVING sum(n) >= 10),
+k AS (SELECT item, outcome, b, sum(n) AS k FROM c SEMI JOIN m USING (item, outcome, g) GROUP BY ALL),
+x AS (SELECT item, outcome, g, b, coalesce(n, 0) AS n, r * k / sum(r * k) OVER w * sum(coalesce(n, 0)) OVER w AS e
+  FROM m JOIN k USING (item, outcome) LEFT JOIN c USING (item, outcome, g, b) WINDOW w AS (PARTITION BY item, outcome)),
+f AS (SELECT item, outcome, count(DISTINCT g)::BIGINT AS groups, (count(DISTINCT g) - 1) * (count(DISTINCT b) - 1) AS dof, sum((n - e) ** 2 / e) AS chi2 FROM x GROUP BY ALL)
+SELECT item, outcome, groups, dof, round(chi2, 6) AS chi2,
+  round(exp(-chi2 / 2) * list_sum(list_transform(range(dof // 2), lambda i: (chi2 / 2) ** i / gamma(i + 1))), 6) AS p FROM f WHERE groups > 1""")
+def chi2_grid(spark, d):
+    price = F.when(F.col("o_totalprice") < 50000, "low").when(F.col("o_totalprice") < 200000, "middle").otherwise("high")
+    o = t(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("priority"), F.concat(F.lit("Q"), F.quarter("o_orderdate")).alias("quarter"), F.col("o_orderstatus").alias("status"), price.alias("price")
+    )
+    out = survey.chi2_grid(o, ["priority", "quarter"], ["status", "price"])
+    return out.withColumns({"chi2": r("chi2"), "p": r("p")})
+
+
 @query("""SELECT o_orderpriority, o_orderstatus, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY o_orderpriority), 8) AS row_share
 FROM (SELECT o_orderpriority, o_orderstatus, count(*)::BIGINT AS n FROM orders GROUP BY 1, 2)""")
 def crosstab_shares(spark, d):
