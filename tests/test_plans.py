@@ -114,6 +114,17 @@ def test_raking_against_a_row_loop(spark):
     assert n_eff == pytest.approx(w.sum() ** 2 / (w**2).sum()) and n_eff <= len(w)
 
 
+def test_draws_that_depend_on_an_earlier_answer(spark):
+    choices = {"tenure": {"owns": 3, "rents": 1}, "vote": {"yes": 1, "no": 1}}
+    free = survey.synthetic_pool(spark, 20_000, choices)
+    bound = survey.synthetic_pool(spark, 20_000, choices, given={"vote": ("tenure", {"rents": {"yes": 0.9, "no": 0.1}})})
+    share = lambda df: {r[0]: r[1] for r in df.groupBy("tenure").agg(F.avg((F.col("vote") == "yes").cast("int"))).collect()}
+    assert share(free) == pytest.approx({"owns": 0.5, "rents": 0.5}, abs=0.03)
+    assert share(bound) == pytest.approx({"owns": 0.5, "rents": 0.9}, abs=0.03)
+    assert free.select("respondent", "tenure").exceptAll(bound.select("respondent", "tenure")).count() == 0
+    assert free.filter("tenure = 'owns'").exceptAll(bound).count() == 0
+
+
 def test_chi2_grid_is_a_screen_of_each_pair(spark):
     rows = [(["a", "b", "c", "Prefer not to say", None][i % 5], ["x", "y"][i % 2], (i * 7) % 11 < 4 + i % 3, ["u", "v", None][i * i % 3]) for i in range(400)] + [("rare", "x", True, "u")] * 3
     df = spark.createDataFrame(rows, "g string, h string, flag boolean, w string")

@@ -176,14 +176,27 @@ def weighted_comparison(df: DataFrame, flags: list[str], weight: str) -> DataFra
     return rows.withColumn("shift_pp", (F.col("weighted") - F.col("unweighted")) * 100)
 
 
-def synthetic_pool(spark, n: int, choices: dict[str, dict[str, float]], seed: int = 2026) -> DataFrame:
-    """n rows of weighted choices for each item, the same on any partitioning."""
+def _drawn(u: Column, options: dict[str, float]) -> Column:
+    """The option at ``u`` (0 to 1) of the shares laid end to end."""
+    total, run, picked = sum(options.values()), 0.0, F
+    for name, share in options.items():
+        run += share
+        picked = picked.when(u * total < run, name)
+    return picked.otherwise(list(options)[-1])
+
+
+def synthetic_pool(spark, n: int, choices: dict[str, dict[str, float]], seed: int = 2026, given: dict[str, tuple[str, dict[str, dict[str, float]]]] | None = None) -> DataFrame:
+    """n rows of weighted choices for each item, the same on any partitioning.
+
+    ``given`` names for an item an earlier one and the shares that hold under its answers; under all
+    other answers the shares of ``choices`` do.
+    """
     df = spark.range(n).withColumnRenamed("id", "respondent")
     for k, (item, options) in enumerate(choices.items()):
-        u = F.pmod(F.xxhash64("respondent", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) * sum(options.values())
-        run, picked = 0.0, None
-        for name, share in options.items():
-            run += share
-            picked = F.when(u < run, name) if picked is None else picked.when(u < run, name)
-        df = df.withColumn(item, F.coalesce(picked, F.lit(list(options)[-1])))
+        u = F.pmod(F.xxhash64("respondent", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        on, shares = (given or {}).get(item, ("", {}))
+        picked = F
+        for answer, own in shares.items():
+            picked = picked.when(F.col(on) == answer, _drawn(u, own))
+        df = df.withColumn(item, picked.otherwise(_drawn(u, options)) if shares else _drawn(u, options))
     return df

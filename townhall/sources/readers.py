@@ -95,6 +95,19 @@ def observations(raw: DataFrame, column: str) -> DataFrame:
     return rows.select(F.to_date("o.date").alias("date"), F.col("o.value").try_cast("double").alias("value"))
 
 
+def read_pages(spark: SparkSession, path: str, item: str, limit: int, pattern: str = r"page-(\d+)") -> DataFrame:
+    """Rows (``item``: their schema) of landed answers of a paged API, with ``page`` and ``place``.
+
+    Each file is an array of up to ``limit`` rows, its page's number is found in its path (files without
+    one, and files that hold no array, are not read). The pull ends
+    with the first page that is not full: pages beyond it are left over from a longer one.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int").alias("page"), F.from_json("value", f"array<struct<{item}>>").alias("rows")).filter("page IS NOT NULL")
+    last = raw.filter(F.size("rows") < limit).agg(F.min("page").alias("last"))
+    kept = raw.join(F.broadcast(last), F.coalesce(F.col("page") <= F.col("last"), F.lit(True)))  # one row
+    return kept.select("page", F.posexplode("rows").alias("place", "row")).select("row.*", "page", "place")
+
+
 def separator_of(text: str) -> str | None:
     """Tab, else comma, whichever gives more than three columns."""
     lines = [line for line in text.splitlines()[:200] if line.strip()]
