@@ -380,9 +380,24 @@ def representativeness_gap(spark, d):
     return out.select("category", "bench", r("pool", 8).alias("pool"), r("gap_vs_bench", 8).alias("gap_vs_bench"))
 
 
-@query()
+RAKED = "WITH RECURSIVE g(a, ta) AS (VALUES " + ", ".join(f"('{k}', {v})" for k, v in {**_TARGET, "HOUSEHOLD": 0.1}.items()) + """),
+h(b, tb) AS (VALUES ('0', 0.5), ('1', 0.3), ('2', 0.2)),
+p AS (SELECT c_custkey, c_mktsegment AS a, (c_nationkey % 3)::VARCHAR AS b FROM customer),
+cells AS (SELECT a, b, ta::DOUBLE AS ta, tb::DOUBLE AS tb, count(*)::DOUBLE AS n FROM p LEFT JOIN g USING (a) LEFT JOIN h USING (b) GROUP BY ALL),
+fit AS (SELECT 0 AS i, a, b, ta, tb, n, 1.0::DOUBLE AS w, 1.0::DOUBLE AS moved FROM cells
+  UNION ALL SELECT i + 1, a, b, ta, tb, n, w3, max(abs(w3 - w)) OVER () FROM (
+    SELECT *, w2 * sum(n) OVER () / sum(w2 * n) OVER () AS w3 FROM (
+      SELECT *, CASE WHEN tb IS NULL THEN w1 ELSE w1 * tb / (sum(w1 * n) OVER (PARTITION BY b) / sum(w1 * n) FILTER (WHERE b IS NOT NULL) OVER ()) END AS w2 FROM (
+        SELECT *, CASE WHEN ta IS NULL THEN w ELSE w * ta / (sum(w * n) OVER (PARTITION BY a) / sum(w * n) FILTER (WHERE a IS NOT NULL) OVER ()) END AS w1
+        FROM fit WHERE i < 50 AND moved >= 1e-6)))),
+o AS (SELECT c_custkey, w FROM p JOIN (SELECT * FROM fit WHERE i = (SELECT max(i) FROM fit)) f ON p.a IS NOT DISTINCT FROM f.a AND p.b IS NOT DISTINCT FROM f.b),
+k AS (SELECT c_custkey, least(greatest(w, (SELECT greatest(quantile_cont(w, 0.02), 0.2) FROM o)), 5.0) AS w FROM o)
+SELECT c_custkey, round(w * count(*) OVER () / sum(w) OVER (), 8) AS weight FROM k"""
+
+
+@query(RAKED)
 def rake_margins(spark, d):
-    """Weights of the customers after fitting two margins; no SQL form, tested against a plain loop."""
+    """Weights of the customers after fitting two margins."""
     c = t(spark, d, "customer").withColumn("region", (F.col("c_nationkey") % 3).cast("string"))
     out = survey.raked(c, {"c_mktsegment": {**_TARGET, "HOUSEHOLD": 0.1}, "region": {"0": 0.5, "1": 0.3, "2": 0.2}})
     return out.select("c_custkey", r("weight", 8).alias("weight"))
