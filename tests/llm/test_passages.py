@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -90,3 +91,29 @@ def test_index_streams_any_text():
         assert got == want
         low = index.least(lo, hi, np.arange(25))
         assert low.tolist() == [min(got[a, b]) for a, b in zip(text.tolist(), start.tolist())]
+
+
+def test_index_takes_less_than_its_words():
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 1 << 40, 4000).astype(np.uint64)
+    shared = [words[rng.integers(0, 4000, 120)] for _ in range(40)]
+    texts = [np.concatenate([words[rng.integers(0, 4000, 60)], shared[k % 40], words[rng.integers(0, 4000, 60)]]) for k in range(1200)]
+    index = passages.FMIndex(texts)
+    assert index.nbytes < 0.7 * sum(t.nbytes for t in texts)
+    text, start, lo, hi = index.windows(texts)
+    windows = {(k, i): tuple(t[i : i + passages.LENGTH].tolist()) for k, t in enumerate(texts) for i in range(len(t) - passages.LENGTH + 1)}
+    often = Counter(windows.values())
+    assert dict(zip(zip(text.tolist(), start.tolist()), (hi - lo).tolist())) == {at: often[w] for at, w in windows.items()}
+
+
+def test_ranks_over_many_runs():
+    """Sequences longer than a run of rank counts."""
+    rng = np.random.default_rng(6)
+    n = 200_000
+    seq = rng.integers(0, 5, n)
+    tree = passages.WaveletMatrix(seq, 5)
+    for symbol in range(5):
+        base = tree.descend(np.array([symbol]), np.array([0]))[0]
+        at = np.append(rng.integers(0, n + 1, 200), [0, 65_535, 65_536, 65_537, n])
+        got = tree.descend(np.full(len(at), symbol), at) - base
+        assert got.tolist() == [int((seq[:a] == symbol).sum()) for a in at]

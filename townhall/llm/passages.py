@@ -9,7 +9,7 @@ Repeated passages are found window by window (``LENGTH`` consecutive words of on
    equal fragments are folded into one with the smallest id. A fixed-size Bloom filter (bounded by
    ``FILTER_BITS``; beyond its capacity an exact join does the work) spares shuffling the others.
 3. A shard's fragments become one FM-index: suffixes sorted to window depth, their BWT in a wavelet
-   matrix with rank counts. Fragments then stream through it: backward search keeps each one's
+   matrix with rank counts in two steps; the suffixes' order is dropped. Fragments then stream through it: backward search keeps each one's
    interval, cut back to 49 words after each full match, and reports the interval of every window.
    The least document of an interval decides. Anchors with more fragments than ``BLOCK`` are
    spread over blocks, and every pair of blocks is a shard, so no shard's size follows one anchor.
@@ -46,7 +46,13 @@ _PLACE = U((1 << 28) - 1)
 
 
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, level by level over their bits."""
+    """Ranks of symbols in a sequence, level by level over their bits.
+
+    A level takes a bit for each symbol and a quarter of a bit for counts of ones: 16 bits before each
+    block of 64, within its run of ``1 << RUN`` blocks, and one full count for each run.
+    """
+
+    RUN = 10
 
     def __init__(self, sequence: np.ndarray, symbols: int):
         self.levels = []
@@ -57,35 +63,45 @@ class WaveletMatrix:
             packed = np.zeros((n // 64 + 1) * 8, np.uint8)
             packed[: (n + 7) // 8] = np.packbits(bit, bitorder="little")
             blocks = packed.view("<u8")
-            counts = np.concatenate([[0], np.cumsum(np.bitwise_count(blocks))[:-1]]).astype(np.int64)
-            self.levels.append((level, blocks, counts, n - int(bit.sum())))
+            before = np.cumsum(np.bitwise_count(blocks), dtype=np.int64)
+            before = np.append(0, before[:-1])
+            runs = before[:: 1 << self.RUN]
+            inner = (before - np.repeat(runs, 1 << self.RUN)[: len(before)]).astype(np.uint16)
+            self.levels.append((level, blocks, runs, inner, n - int(bit.sum())))
             seq = np.concatenate([seq[~bit], seq[bit]])
 
     def descend(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where position ``at`` of the sequence falls among the symbols, after all levels."""
-        for level, blocks, counts, zeros in self.levels:
+        for level, blocks, runs, inner, zeros in self.levels:
             block = at >> 6
             below = (U(1) << (at & 63).astype(U)) - U(1)
-            ones = counts[block] + np.bitwise_count(blocks[block] & below)
+            ones = runs[block >> self.RUN] + inner[block] + np.bitwise_count(blocks[block] & below)
             at = np.where(symbol >> level & 1, zeros + ones, at - ones)
         return at
 
+    @property
+    def nbytes(self) -> int:
+        return sum(part.nbytes for _, *parts, _ in self.levels for part in parts)
+
 
 class FMIndex:
     """An FM-index over texts of symbols, sorted to a depth of ``length``.
 
-    ``texts``: arrays of hashes; they are indexed one after the other with separators between.
+    ``texts``: arrays of hashes; they are indexed one after the other with separators between. Neither
+    the symbols nor the suffixes' order are kept. What is: the wavelet matrix, the symbols' hashes and
+    bases, each suffix's text at the least width, and the runs of suffixes that agree on
+    ``length - 1`` symbols, where more than one does.
     """
 
     def __init__(self, texts: list[np.ndarray], length: int = LENGTH):
         self.length = length
         sizes = np.array([len(t) for t in texts])
-        self.starts = np.cumsum(sizes + 1) - (sizes + 1)
+        starts = np.cumsum(sizes + 1) - (sizes + 1)
         n = int((sizes + 1).sum())
         self.names, inverse = np.unique(np.concatenate(texts), return_inverse=True)
         seq = np.zeros(n, np.int64)
         inside = np.ones(n, bool)
-        inside[self.starts + sizes] = False
+        inside[starts + sizes] = False
         seq[inside] = inverse + 1
         self.n, self.symbols = n, len(self.names) + 1
 
@@ -94,17 +110,17 @@ class FMIndex:
             rank = self._paired(rank, depth)
             depth *= 2
         key = self._key(rank, length - depth)
-        self.order = np.argsort(key, kind="stable")
-        shorter = self._key(rank, length - 1 - depth)
-        ordered = shorter[self.order]
-        change = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        self.bounds = np.append(change, n)  # classes of suffixes that agree on length - 1 symbols
-        bwt = seq[self.order - 1]
-        self.counts = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=self.symbols))]).astype(np.int64)
-        self.tree = WaveletMatrix(bwt, self.symbols)
+        order = np.argsort(key, kind="stable")
+        ordered = self._key(rank, length - 1 - depth)[order]
+        change = np.append(np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])), n)
+        several = np.flatnonzero(np.diff(change) > 1)
+        width = np.min_scalar_type(n)
+        self.opens, self.closes = change[several].astype(width), change[several + 1].astype(width)
+        before = np.append(0, np.cumsum(np.bincount(seq, minlength=self.symbols)))[:-1]
+        self.tree = WaveletMatrix(seq[order - 1], self.symbols)
         every = np.arange(self.symbols)
-        self.base = self.counts[:-1] - self.tree.descend(every, np.zeros(self.symbols, np.int64))
-        self.text_of = np.repeat(np.arange(len(texts)), sizes + 1)[self.order]
+        self.base = before - self.tree.descend(every, np.zeros(self.symbols, np.int64))
+        self.text_of = np.repeat(np.arange(len(texts), dtype=np.min_scalar_type(len(texts))), sizes + 1)[order]
 
     @staticmethod
     def _key(rank: np.ndarray, step: int) -> np.ndarray:
@@ -116,6 +132,19 @@ class FMIndex:
     def _paired(self, rank: np.ndarray, step: int) -> np.ndarray:
         return np.unique(self._key(rank, step), return_inverse=True)[1].astype(np.int64)
 
+    @property
+    def nbytes(self) -> int:
+        return self.tree.nbytes + sum(x.nbytes for x in (self.names, self.base, self.text_of, self.opens, self.closes))
+
+    def shortened(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of the first ``length - 1`` symbols of the suffixes at ``lo``."""
+        if not len(self.opens):
+            return lo, lo + 1
+        run = np.maximum(np.searchsorted(self.opens, lo.astype(self.opens.dtype), side="right") - 1, 0)
+        opens, closes = self.opens[run].astype(np.int64), self.closes[run].astype(np.int64)
+        inside = (opens <= lo) & (lo < closes)
+        return np.where(inside, opens, lo), np.where(inside, closes, lo + 1)
+
     def symbols_of(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of hashes; 0, which no text holds, for unknown ones."""
         at = np.minimum(np.searchsorted(self.names, hashes), len(self.names) - 1)
@@ -139,8 +168,8 @@ class FMIndex:
             full = ~lost & (held == self.length)
             if full.any():
                 found.append((lane[full], place[full], lo[full], hi[full]))
-                kind = np.searchsorted(self.bounds, lo[full], side="right") - 1
-                lo[full], hi[full], held[full] = self.bounds[kind], self.bounds[kind + 1], self.length - 1
+                lo[full], hi[full] = self.shortened(lo[full])
+                held[full] = self.length - 1
             # What was lost occurs nowhere: start anew with the run that ends before its last symbol.
             place = np.where(lost, place + held - 2, place - 1)
             if lost.any():
