@@ -70,6 +70,45 @@ SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(m, t.doc_id) AS
 FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON d = t.doc_id
 """
 
+OP2_SQL = r"""
+WITH t AS (
+  SELECT doc_id,
+    xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+      lambda crc, byte: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, xor(crc, byte)),
+      4294967295::BIGINT), 4294967295) % 5 = 1 AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+'), ' ') AS words
+  FROM documents),
+x AS (SELECT doc_id, held_out, unnest(list_prepend(chr(9), words[1:len(words) - 1])) AS h, unnest(words) AS w FROM t),
+u AS (SELECT w, count(*) AS c FROM x WHERE NOT held_out GROUP BY 1),
+b AS (SELECT h, w, count(*) AS c FROM x WHERE NOT held_out GROUP BY 1, 2),
+k AS (SELECT 1 AS level, c, count(*)::DOUBLE AS n FROM u GROUP BY 2 UNION ALL SELECT 2, c, count(*)::DOUBLE FROM b GROUP BY 2),
+r AS (
+  SELECT a.level, g.r, coalesce(max(n) FILTER (c = g.r), 0) AS n, coalesce(max(n) FILTER (c = g.r + 1), 0) AS more,
+    CASE WHEN max(n) FILTER (c = 1) > 0 THEN 6 * coalesce(max(n) FILTER (c = 6), 0) / max(n) FILTER (c = 1) ELSE 1 END AS top
+  FROM k a, (SELECT unnest(range(1, 6)) AS r) g GROUP BY 1, 2),
+katz AS (SELECT *, CASE WHEN n > 0 AND more > 0 AND top < 1 THEN ((r + 1) * more / n / r - top) / (1 - top) ELSE 0 END AS d FROM r),
+f AS (SELECT level, r, CASE WHEN d > 0 AND d < 1 THEN d ELSE 1 - 0.5::DOUBLE / r END AS f FROM katz),
+n AS (SELECT sum(c)::BIGINT AS tokens, count(*) AS types FROM u),
+u1 AS (SELECT w, c, coalesce(f, 1) * c / tokens AS p FROM u CROSS JOIN n LEFT JOIN f ON level = 1 AND r = c),
+s1 AS (SELECT sum(p) AS seen, max(tokens) AS tokens FROM u1 CROSS JOIN n),
+g1 AS (SELECT CASE WHEN seen > 1 - 1e-12 THEN tokens / (tokens + 0.5::DOUBLE) ELSE 1 END AS guard,
+  CASE WHEN seen > 1 - 1e-12 THEN 0.5::DOUBLE / (tokens + 0.5::DOUBLE) ELSE 1 - seen END AS unknown FROM s1),
+p1 AS (SELECT w, c, p * guard AS p FROM u1 CROSS JOIN g1),
+h2 AS (SELECT h, sum(c)::BIGINT AS total FROM b GROUP BY 1),
+b2 AS (SELECT b.h, b.w, coalesce(f, 1) * b.c / total AS p, total, p1.p AS below
+  FROM b JOIN h2 ON h2.h = b.h JOIN p1 ON p1.w = b.w LEFT JOIN f ON level = 2 AND r = b.c),
+a AS (SELECT h, CASE WHEN sum(p) > 1 - 1e-12 THEN max(total) / (max(total) + 0.5::DOUBLE) ELSE 1 END AS guard,
+  CASE WHEN sum(p) > 1 - 1e-12 THEN 0.5::DOUBLE / (max(total) + 0.5::DOUBLE) ELSE 1 - sum(p) END / (1 - sum(below)) AS alpha
+  FROM b2 GROUP BY 1),
+p2 AS (SELECT b2.h, w, p * guard AS p FROM b2 JOIN a ON a.h = b2.h),
+z AS (SELECT x.doc_id, x.held_out, coalesce(p1.c, 0) AS c, coalesce(p2.p, coalesce(a.alpha, 1) * coalesce(p1.p, unknown)) AS p
+  FROM x CROSS JOIN g1 LEFT JOIN p1 ON p1.w = x.w LEFT JOIN a ON a.h = x.h LEFT JOIN p2 ON p2.h = x.h AND p2.w = x.w)
+SELECT doc_id, held_out, count(*)::BIGINT AS n_tokens, (count(*) FILTER (c > 0))::BIGINT AS n_known, max(tokens)::BIGINT AS train_tokens,
+  sum(log10((c + 0.5::DOUBLE) / (tokens + 0.5::DOUBLE * (types + 1)))) AS base_score, sum(log10(p)) AS score
+FROM z CROSS JOIN n GROUP BY 1, 2
+"""
+
 OP3_SQL = r"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0),
 e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
@@ -141,6 +180,16 @@ SELECT doc_id, size, source_size, target,
   ((floor(k * rate + start) - floor((k - 1) * rate + start))::BIGINT * size)::BIGINT AS taken FROM placed
 """
 
+OP10_SQL = r"""
+WITH v AS (
+  SELECT vec_id, v FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+  WHERE list_sum(list_transform(v, lambda x: x * x)) > 0 AND len(list_filter(v, lambda x: coalesce(isfinite(x), false))) = len(v)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -158,4 +207,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op5_passages": OP5_SQL, "op8_line_dedup": OP8_SQL, "op9_mixing": OP9_SQL}
+    return {
+        "op1_minhash": OP1_SQL,
+        "op2_katz": OP2_SQL,
+        "op3_embedding_dedup": OP3_SQL,
+        "op5_passages": OP5_SQL,
+        "op8_line_dedup": OP8_SQL,
+        "op9_mixing": OP9_SQL,
+        "op10_nearest": OP10_SQL,
+    }
