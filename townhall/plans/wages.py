@@ -133,8 +133,8 @@ def cost_burden(brackets: DataFrame) -> DataFrame:
 
 def _uniform(i: Column, stream: int, seed: int) -> Column:
     """A number in (0, 1) from the row's own id: the same on any partitioning and on recomputation."""
-    bits = F.shiftrightunsigned(F.xxhash64(i, F.lit(stream), F.lit(seed)), 11)
-    return (bits.cast("double") + 0.5) / float(1 << 53)
+    digest = F.md5(F.concat_ws("/", i.cast("string"), F.lit(str(stream)), F.lit(str(seed))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
 def normal_draw(i: Column, stream: int, seed: int) -> Column:

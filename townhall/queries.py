@@ -594,9 +594,26 @@ def content_hash(spark, d):
     return t(spark, d, "documents").select("doc_id", documents.content_hash(F.col("text")).alias("hash"))
 
 
-@query()
+@query(r"""WITH RECURSIVE marks AS (SELECT doc_id, text, list_filter([E'\n## ', E'\n### ', E'\n# ', E'\n\n', E'\n'], lambda m: contains(text, m))[1] AS mark
+  FROM documents WHERE text <> ''),
+parts AS (SELECT doc_id, unnest(CASE WHEN mark IS NULL THEN [text] ELSE string_split(text, mark) END) AS part, mark,
+  unnest(CASE WHEN mark IS NULL THEN [1] ELSE range(1, len(string_split(text, mark)) + 1) END) AS i FROM marks),
+p AS (SELECT doc_id, i, part, length(part) // 4 AS n FROM (SELECT doc_id, i, CASE WHEN i > 1 THEN ltrim(mark, chr(10)) || part ELSE part END AS part FROM parts)),
+packed(doc_id, i, size, waits, g, kept, cut) AS (
+  SELECT doc_id, 0::BIGINT, 0::BIGINT, false, 0, false, false FROM marks
+  UNION ALL
+  SELECT k.doc_id, p.i, CASE WHEN n > 500 THEN 0 WHEN waits AND size + n <= 500 THEN size + n ELSE n END,
+    n <= 500 AND (part <> '' OR (waits AND size + n <= 500)), CASE WHEN waits AND size + n <= 500 THEN g ELSE g + 1 END,
+    part <> '' OR (waits AND size + n <= 500), n > 500
+  FROM packed k JOIN p ON p.doc_id = k.doc_id AND p.i = k.i + 1),
+whole AS (SELECT k.doc_id, g, bool_or(cut) AS cut, sum(n)::INT AS n, string_agg(part, chr(10) || chr(10) ORDER BY p.i) AS chunk
+  FROM packed k JOIN p ON p.doc_id = k.doc_id AND p.i = k.i WHERE kept GROUP BY 1, 2),
+pieces AS (SELECT doc_id, g, cut, n, unnest(CASE WHEN cut THEN list_transform(range(0, length(chunk), 2000), lambda a: substring(chunk, a + 1, 2000)) ELSE [chunk] END) AS chunk,
+  unnest(CASE WHEN cut THEN range(0, length(chunk), 2000) ELSE [0] END) AS place FROM whole)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, place) - 1)::INT AS chunk_idx, CASE WHEN cut THEN length(chunk) // 4 ELSE n END::INT AS n_tokens,
+  substr(sha256(chunk), 1, 16) AS hash FROM pieces""")
 def chunked_documents(spark, d):
-    """Chunks of at most 500 tokens; no SQL form, tested on sections, limits and both modes."""
+    """Chunks of at most 500 tokens."""
     out = documents.chunked(t(spark, d, "documents"), "doc_id", "text", 500)
     return out.select("doc_id", "chunk_idx", "n_tokens", documents.content_hash(F.col("text")).alias("hash"))
 
@@ -625,12 +642,16 @@ def scenario_offsets(spark, d):
     return regions.crossJoin(wages.scenarios(wages.projected(spark)))
 
 
-@query(SCENARIOS + """, a AS (SELECT year, tipped AS a, round(tipped - lag(tipped) OVER (ORDER BY year), 2) AS step FROM s WHERE option = 'A'),
+FREEZES = SCENARIOS + """, a AS (SELECT year, tipped AS a, round(tipped - lag(tipped) OVER (ORDER BY year), 2) AS step FROM s WHERE option = 'A'),
 z AS (SELECT a AS a30, round(step * 1.025::DOUBLE, 2) AS s31, round(round(step * 1.025::DOUBLE, 2) * 1.025::DOUBLE, 2) AS s32 FROM a WHERE year = 2030),
 v(variant, freeze_year, level, catch_up) AS (VALUES ('E1a', 2026, 13.80::DOUBLE, false), ('E1b', 2026, 13.80::DOUBLE, true), ('E2a', 2027, 15.15::DOUBLE, false), ('E2b', 2027, 15.15::DOUBLE, true)),
 g AS (SELECT v.*, (2025 + i)::INT AS year FROM v, range(8) t(i)),
-f AS (SELECT g.*, a.a, a30, s31, sum(CASE WHEN g.year < 2029 THEN 0 WHEN g.year = 2031 THEN s31 WHEN g.year = 2032 THEN s32 ELSE step END) OVER (PARTITION BY variant ORDER BY g.year) AS run FROM g LEFT JOIN a ON g.year = a.year, z)
-SELECT variant, year, round(CASE WHEN year < freeze_year THEN coalesce(a, level) WHEN year <= 2028 THEN level WHEN catch_up THEN coalesce(a, a30 + s31 * (year - 2030)) ELSE level + run END, 2) AS tipped FROM f""")
+f AS (SELECT g.*, a.a, a30, s31, sum(CASE WHEN g.year < 2029 THEN 0 WHEN g.year = 2031 THEN s31 WHEN g.year = 2032 THEN s32 ELSE step END) OVER (PARTITION BY variant ORDER BY g.year) AS run FROM g LEFT JOIN a ON g.year = a.year, z),
+v5 AS (SELECT variant, year, round(CASE WHEN year < freeze_year THEN coalesce(a, level) WHEN year <= 2028 THEN level WHEN catch_up THEN coalesce(a, a30 + s31 * (year - 2030)) ELSE level + run END, 2) AS tipped FROM f)
+"""
+
+
+@query(FREEZES + "SELECT variant, year, tipped FROM v5")
 def freeze_variants(spark, d):
     return wages.freeze_variants(wages.projected(spark)).withColumn("tipped", r("tipped", 2))
 
@@ -667,12 +688,33 @@ def cost_burden(spark, d):
     return out.select("area", "total", "cost_burdened", "severely_burdened", r("pct_burdened", 8).alias("pct_burdened"), r("pct_severely", 8).alias("pct_severely"))
 
 
-@query()
+def _uniform(stream: int) -> str:
+    return f"((('0x' || substr(md5(concat_ws('/', sim, '{stream}', '42')), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+
+
+def _normal(stream: int) -> str:
+    return f"(sqrt(-2 * ln({_uniform(2 * stream)})) * cos(2 * pi() * {_uniform(2 * stream + 1)}))"
+
+
+_TRIES = ", ".join(f"30 + 6 * {_normal(1 + 50 * k)}" for k in range(12))
+_TIP = "ln(10::DOUBLE) - ln(1 + 0.7::DOUBLE * 0.7::DOUBLE) / 2 + sqrt(ln(1 + 0.7::DOUBLE * 0.7::DOUBLE))"
+_POINTS = (10, 25, 50, 75, 90)
+
+
+@query(FREEZES + f""", d AS (SELECT unnest(range({wages.SIMULATIONS})) AS sim),
+tries AS (SELECT sim, [{_TRIES}] AS h FROM d),
+drawn AS (SELECT coalesce(list_filter(h, lambda x: x >= 15 AND x <= 45)[1], greatest(15, least(45, h[1]))) AS hours,
+  greatest(0, least(0.10::DOUBLE, 0.035::DOUBLE + 0.015::DOUBLE * {_normal(2)})) AS growth, exp({_TIP} * {_normal(4)}) AS tips FROM tries),
+plan AS (SELECT option AS scenario, year, tipped FROM s WHERE option IN ('A', 'C') UNION ALL SELECT variant, year, tipped FROM v5 WHERE variant IN ('E1a', 'E1b', 'E2a')),
+lived AS (SELECT scenario, year, (tipped + tips) * hours * 52 AS income, 1915 * (1 + growth) ** (year - 2023) * 12 / 0.30::DOUBLE AS needed FROM drawn, plan)
+SELECT scenario, year, {", ".join(f"round(quantile_cont(income, {p / 100}), 6) AS p{p}" for p in _POINTS)}, round(quantile_cont(needed, 0.5), 6) AS needed_p50,
+  round(avg((income < needed)::INT), 6) AS p_unaffordable FROM lived GROUP BY 1, 2""")
 def monte_carlo_bands(spark, d):
-    """Income bands by scenario and year; draws follow row ids, tested for bounds and tolerances."""
+    """Income bands by scenario and year; a draw follows from its row's id."""
     base = wages.scenarios(wages.projected(spark)).filter("option IN ('A', 'C')").select(F.col("option").alias("scenario"), "year", "tipped")
     freeze = wages.freeze_variants(wages.projected(spark)).filter("variant IN ('E1a', 'E1b', 'E2a')").select(F.col("variant").alias("scenario"), "year", "tipped")
-    return wages.monte_carlo(wages.draws(spark), base.union(freeze), 1915.0)
+    out = wages.monte_carlo(wages.draws(spark), base.union(freeze), 1915.0, points=_POINTS)
+    return out.select("scenario", "year", *[r(c).alias(c) for c in (*[f"p{p}" for p in _POINTS], "needed_p50", "p_unaffordable")])
 
 
 @query("""SELECT n_name AS metro, round(10 + n_nationkey, 2) AS wage, CASE WHEN n_regionkey < 3 THEN 90 + n_nationkey END AS parity, round((10 + n_nationkey)::DOUBLE / CASE WHEN n_regionkey < 3 THEN 90 + n_nationkey END * 100, 8) AS real FROM nation""")
