@@ -7,7 +7,8 @@ Repeated passages are found window by window (``LENGTH`` consecutive words of on
    whole texts are compared by digest instead.
 2. Fragments at live anchors are dealt to shards by their anchor, so equal windows always meet, and
    equal fragments are folded into one with the smallest id. A fixed-size Bloom filter (bounded by
-   ``FILTER_BITS``; beyond its capacity an exact join does the work) spares shuffling the others.
+   ``FILTER_BITS``) spares shuffling the others; beyond its capacity every text is joined with the
+   list of its own live anchors, so that texts are shuffled once and other fragments not at all.
 3. A shard's fragments become one FM-index: suffixes sorted to window depth, their BWT in a wavelet
    matrix with rank counts in two steps; the suffixes' order is dropped. Fragments then stream through it: backward search keeps each one's
    interval, cut back to 49 words after each full match, and reports the interval of every window.
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, cut, gram_hashes, pieces, text_hashes
+from .common import U, cut, gram_hashes, join_hubs, pieces, text_hashes
 
 LENGTH, GRAM = 50, 25
 #: Fragments of an anchor beyond which it is spread over blocks; words a shard should hold.
@@ -233,7 +234,7 @@ def fragments(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _scan(documents: DataFrame) -> DataFrame:
-    """doc_id, n_words, digest, kept (hash of the words joined by a space), anchors."""
+    """doc_id, h, n_words, digest, kept (hash of the words joined by a space), anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -243,15 +244,15 @@ def _scan(documents: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(np.diff(first), pa.int64()),
+                    batch.column("doc_id"), batch.column("h"), pa.array(np.diff(first), pa.int64()),
                     pa.array([hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first, first[1:])], pa.binary()),
                     pa.array([hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in texts]),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(anchor)),
                 ],
-                ["doc_id", "n_words", "digest", "kept", "anchors"],
+                ["doc_id", "h", "n_words", "digest", "kept", "anchors"],
             )
 
-    return documents.mapInArrow(run, "doc_id long, n_words long, digest binary, kept string, anchors array<long>")
+    return documents.mapInArrow(run, "doc_id long, h long, n_words long, digest binary, kept string, anchors array<long>")
 
 
 def member_filter(members: DataFrame, column: str) -> np.ndarray | None:
@@ -264,13 +265,28 @@ def member_filter(members: DataFrame, column: str) -> np.ndarray | None:
     h = F.col(column)
     places = F.array(*[F.pmod(F.shiftright(h, s), F.lit(bits)) for s in _SHIFTS])
     words = members.select(F.explode(places).alias("p")).groupBy((F.col("p") / 64).cast("int").alias("w"))
-    rows = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b")).collect()
+    filled = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w, b = (batch.column(c).to_numpy().tobytes() for c in "wb")
+            yield pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([b], pa.binary())], ["w", "b"])
+
     table = np.zeros(bits // 64, np.int64)
-    for w, b in rows:
-        table[w] = b
+    for w, b in filled.mapInArrow(run, "w binary, b binary").collect():
+        table[np.frombuffer(w, np.int32)] = np.frombuffer(b, np.int64)
     return table
 
 
+def _with_lists(texts: DataFrame, rows: DataFrame, live: DataFrame) -> DataFrame:
+    """``texts`` that hold live anchors, with them as ``live``: one list for each text hash ``h``."""
+    named = rows.filter("doc_id IS NOT NULL")
+    pairs = named.select("h", F.explode("anchors").alias("anchor")).distinct()
+    lists = pairs.join(live, "anchor").groupBy("h").agg(F.collect_list("anchor").alias("live"))
+    held = named.groupBy("h").agg(F.count("*").alias("held"))
+    return join_hubs(texts, cut(lists.join(held, "h")), "h", named.count()).filter("live IS NOT NULL")
+
+
 def in_filter(table: np.ndarray | None, values: np.ndarray) -> np.ndarray:
     """Which longs may be members."""
     if table is None:
@@ -283,15 +299,23 @@ def in_filter(table: np.ndarray | None, values: np.ndarray) -> np.ndarray:
 
 
 def _pieces_at(documents: DataFrame, live: np.ndarray | None) -> DataFrame:
-    """doc_id, text (its digest), anchor, fragment (digest), first (window), words (hashes)."""
+    """doc_id, text (its digest), anchor, fragment (digest), first (window), words (hashes).
+
+    ``live``: a filter of the live anchors; without one each document brings its own as a list.
+    """
     sent = documents.sparkSession.sparkContext.broadcast(live)
 
+    def listed(batch: pa.RecordBatch, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).tolist()
+        lists = [np.asarray(one, np.int64) for one in batch.column("live").to_pylist()]
+        return np.concatenate([np.zeros(0, bool), *[np.isin(anchor[a:b], one) for a, b, one in zip(ends, ends[1:], lists)]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[bytes] = set()
         for batch in pieces(batches, "text"):
             h, first = text_hashes(batch.column("text"), fold=False)
             doc, a, b, anchor = fragments(h, first)
-            may = in_filter(sent.value, anchor)
+            may = listed(batch, doc, anchor) if sent.value is None else in_filter(sent.value, anchor)
             doc, a, b, anchor = doc[may], a[may], b[may], anchor[may]
             runs = [h[first[d] + x : first[d] + y + LENGTH] for d, x, y in zip(doc, a, b)]
             digests = [hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in runs]
@@ -355,11 +379,13 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``least`` packs, for the windows from ``first`` on, the least document they start in, for
     windows that documents of different texts may share.
     """
-    narrow = documents.select(F.col("doc_id").cast("long"), "text")
+    narrow = documents.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
     rows = cut(_scan(narrow))
     anchors = rows.filter("doc_id IS NOT NULL").select(F.explode(F.array_distinct("anchors")).alias("anchor"), F.xxhash64("digest").alias("d"))
     live = cut(anchors.groupBy("anchor").agg(F.min("d").alias("a"), F.max("d").alias("b")).filter("a <> b").select("anchor"))
-    cuts = cut(_pieces_at(narrow.filter("doc_id IS NOT NULL"), member_filter(live, "anchor")).join(live, "anchor", "left_semi"))
+    texts, members = narrow.filter("doc_id IS NOT NULL"), member_filter(live, "anchor")
+    texts = _with_lists(texts, rows, live) if members is None else texts
+    cuts = cut(_pieces_at(texts, members).join(live, "anchor", "left_semi"))
     folded = cut(cuts.groupBy("anchor", "fragment").agg(F.min("doc_id").alias("doc"), F.first("words", ignorenulls=True).alias("words")))
     many = folded.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = folded.join(many, "anchor").withColumn("own", F.pmod(F.xxhash64("fragment"), F.col("blocks")).cast("int"))
