@@ -58,7 +58,9 @@ def test_against_all_windows(spark, seed):
     assert got == brute(rows)
 
 
-def test_blocks_and_small_shards_agree(spark, monkeypatch):
+@pytest.mark.parametrize("heavy", [0, 1 << 17])
+def test_blocks_and_small_shards_agree(spark, monkeypatch, heavy):
+    monkeypatch.setattr(passages, "HEAVY", heavy)
     monkeypatch.setattr(passages, "BLOCK", 3)
     monkeypatch.setattr(passages, "SHARD_WORDS", 500)
     monkeypatch.setattr(passages, "FILTER_BITS", 16)

@@ -36,6 +36,8 @@ from .common import U, cut, gram_hashes, join_hubs, pieces, text_hashes
 LENGTH, GRAM = 50, 25
 #: Fragments of an anchor beyond which it is spread over blocks; words a shard should hold.
 BLOCK, SHARD_WORDS = 8192, 1_000_000
+#: Spread anchors (16 bytes each) up to which they are broadcast to the fragments.
+HEAVY = 1 << 17
 #: The Bloom filter's largest size (16 MB), and bits a member should have.
 FILTER_BITS, MEMBER_BITS = 1 << 27, 16
 WORD_BYTES = 5
@@ -387,8 +389,10 @@ def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = _with_lists(texts, rows, live) if members is None else texts
     cuts = cut(_pieces_at(texts, members).join(live, "anchor", "left_semi"))
     folded = cut(cuts.groupBy("anchor", "fragment").agg(F.min("doc_id").alias("doc"), F.first("words", ignorenulls=True).alias("words")))
-    many = folded.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    placed = folded.join(many, "anchor").withColumn("own", F.pmod(F.xxhash64("fragment"), F.col("blocks")).cast("int"))
+    heavy = cut(folded.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1"))
+    heavy = F.broadcast(heavy) if heavy.count() <= HEAVY else heavy
+    placed = folded.join(heavy, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("fragment"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     dealt = dealt.select("anchor", "fragment", "doc", "words", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"))
     least = _least_documents(dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j"))
