@@ -243,6 +243,8 @@ def test_projection_and_trees(spark):
     mean, parts, share = documents.principal_components(vectors, "v")
     values = np.linalg.svd(x - x.mean(0), compute_uv=False) ** 2
     assert share == pytest.approx(values[:2] / values.sum()) and mean == pytest.approx(x.mean(0))
+    spread = documents.explained_variance(vectors.union(vectors.select("id", F.lit(None))), "v").collect()
+    assert [r.variance for r in spread] == pytest.approx(values / 39) and sum(r.share for r in spread) == pytest.approx(1)
     got = np.array([[r.c1, r.c2] for r in documents.projected(vectors, "id", "v").orderBy("id").collect()])
     assert got == pytest.approx((x - x.mean(0)) @ parts.T) and abs(got.mean()) < 1e-9
     flat = rng.standard_normal((12, 2))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -91,11 +92,17 @@ def pooled_by(chunks: DataFrame, key: str, vector: str, strategy: str, weight: s
     return pooled(chunks, key, vector, F.col(weight) if strategy == "weighted" else None)
 
 
-def pair_similarity(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """a, b, similarity for a < b. For a catalogue of versions: rows grow with its square."""
-    unit = vectors.select(F.col(key).alias("a"), normalised(F.col(vector)).alias("va"))
-    other = unit.select(F.col("a").alias("b"), F.col("va").alias("vb"))
-    return unit.join(other, F.col("a") < F.col("b")).select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
+def pair_similarity(vectors: DataFrame, key: str, vector: str, blocks: int = 8) -> DataFrame:
+    """a, b, similarity for a < b. For a catalogue of versions: rows grow with its square.
+
+    Keys are dealt to blocks and pairs of blocks are joined, so that no task holds all versions.
+    """
+    unit = vectors.select(F.col(key).alias("a"), normalised(F.col(vector)).alias("va"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = unit.select("a", "va", F.col("own").alias("i"), every.alias("j"))
+    right = unit.select(F.col("a").alias("b"), F.col("va").alias("vb"), every.alias("i"), F.col("own").alias("j"))
+    pairs = left.join(right, ["i", "j"]).filter(F.col("a") < F.col("b"))
+    return pairs.select("a", "b", dot(F.col("va"), F.col("vb")).alias("similarity"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -152,24 +159,58 @@ def _matrix(vectors: DataFrame, key: str, vector: str) -> tuple[list, np.ndarray
     return [r[0] for r in rows], np.array([r[1] for r in rows], float)
 
 
-def principal_components(vectors: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, components k x dim, explained variance ratio); moments are aggregated in the cluster.
+def _moments(vectors: DataFrame, vector: str) -> np.ndarray:
+    """The sums of products of (1, v) with itself, (dim + 1) square; vectors with a missing entry are left out.
 
-    Only dim + dim^2 sums come to the driver. Signs are fixed by each component's largest entry.
+    Every task adds up its own vectors' products; the tasks' rows of sums are then added up by row.
     """
-    flat = vectors.select(F.posexplode(vector).alias("i", "x"), F.col(vector).alias("v"))
-    sums = flat.groupBy("i").agg(F.count("*").alias("n"), F.sum("x").alias("s"))
-    cross = flat.select("i", "x", F.posexplode("v").alias("j", "y")).groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("c"))
-    rows = sums.orderBy("i").collect()
-    n, mean = rows[0].n, np.array([r.s for r in rows]) / rows[0].n
-    second = np.zeros((len(mean), len(mean)))
-    for r in cross.collect():
-        second[r.i, r.j] = r.c
-    values, axes = np.linalg.eigh((second - n * np.outer(mean, mean)) / max(1, n - 1))
-    order = np.argsort(-values)[:k]
-    parts = axes[:, order].T
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            column = batch.column("_v")
+            if len(column):
+                x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                x = x[np.isfinite(x).all(1)]
+                sums = x.T @ x if sums is None else sums + x.T @ x
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array([row.tobytes() for row in sums], pa.binary())], ["i", "sums"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, row in zip(batch.column("i").to_pylist(), batch.column("sums").to_pylist()):
+                held[i] = held.get(i, 0.0) + np.frombuffer(row)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([row.tobytes() for row in held.values()], pa.binary())], ["i", "sums"])
+
+    kind = "i int, sums binary"
+    known = vectors.filter(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("_v"))
+    rows = known.mapInArrow(partial, kind).repartition("i").mapInArrow(total, kind).collect()
+    return np.array([np.frombuffer(r.sums) for r in sorted(rows, key=lambda r: r.i)])
+
+
+def _spectrum(vectors: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, variances from the largest on, axes as columns); only (dim + 1)^2 sums come to the driver."""
+    sums = _moments(vectors, vector)
+    n, mean = sums[0, 0], sums[0, 1:] / sums[0, 0]
+    values, axes = np.linalg.eigh((sums[1:, 1:] - n * np.outer(mean, mean)) / max(1, n - 1))
+    return mean, values[::-1], axes[:, ::-1]
+
+
+def principal_components(vectors: DataFrame, vector: str, k: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components k x dim, explained variance ratio); signs are fixed by each one's largest entry."""
+    mean, values, axes = _spectrum(vectors, vector)
+    parts = axes[:, :k].T.copy()
     parts *= np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None]
-    return mean, parts, values[order] / values.sum()
+    return mean, parts, values[:k] / values.sum()
+
+
+def explained_variance(vectors: DataFrame, vector: str) -> DataFrame:
+    """component (from 1), its variance and its share of the whole."""
+    _, values, _ = _spectrum(vectors, vector)
+    rows = [(i + 1, float(x), float(x / values.sum())) for i, x in enumerate(values)]
+    return vectors.sparkSession.createDataFrame(rows, "component int, variance double, share double")
 
 
 def projected(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:

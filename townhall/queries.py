@@ -589,6 +589,23 @@ def principal_coordinates(spark, d):
     return documents.projected(_vectors(spark, d), "vec_id", "embedding")
 
 
+@query("""WITH f AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM f a JOIN f b USING (vec_id) GROUP BY 1, 2)
+SELECT max(i)::BIGINT AS components, round(sum(c) FILTER (i = j), 8) AS variance, round(sum(c * c), 8) AS squares FROM c""")
+def explained_variance(spark, d):
+    """Sums of the components' variances and of their squares: the covariance's trace and squared norm."""
+    out = documents.explained_variance(_vectors(spark, d), "embedding")
+    return out.agg(F.count("*").alias("components"), r(F.sum("variance"), 8).alias("variance"), r(F.sum(F.col("variance") * F.col("variance")), 8).alias("squares"))
+
+
+@query()
+def version_merges(spark, d):
+    """Ward's merges of the labels' mean vectors; tested on points whose tree is known."""
+    keys, distances = documents.distance_matrix(documents.pooled(_vectors(spark, d), "label", "embedding"), "label", "pooled")
+    rows = [(int(a), int(b), float(h), int(n)) for a, b, h, n in documents.ward(distances)]
+    return spark.createDataFrame(rows, "a int, b int, height double, size int")
+
+
 @query("SELECT doc_id, substr(sha256(text), 1, 16) AS hash FROM documents")
 def content_hash(spark, d):
     return t(spark, d, "documents").select("doc_id", documents.content_hash(F.col("text")).alias("hash"))
