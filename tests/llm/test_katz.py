@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,30 @@ def test_edges(spark):
     none = katz.score(df, F.lit(True)).orderBy("doc_id").collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in none] == [(3, 0, 0, 0, 0), (1, 0, 0, 0, 0)]
     assert katz.score(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_sums_follow_documents_not_partitions(spark, monkeypatch):
+    monkeypatch.setattr(katz, "PART_TOKENS", 200)
+    monkeypatch.setattr(katz, "READERS", 2, raising=False)
+    caught, gathered = [], katz._gathered
+    monkeypatch.setattr(katz, "_gathered", lambda parts, tokens: caught.append(parts) or gathered(parts, tokens))
+    rng = random.Random(3)
+    rows = [(d, " ".join(str(int(rng.paretovariate(0.7))) for _ in range(40))) for d in range(400)]
+    assert katz.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False)).count() == 400
+    sums = caught[0].filter("NOT docs").agg(F.sum(F.length("blob"))).first()[0]
+    assert sums <= 2 * (8 * 400 + 100)  # 80 partitions brought 8 bytes each for nearly every document
+
+
+def test_frequent_contexts_are_spread():
+    context, words = np.full(10_000, 5_000 << 32 | 1, np.uint64), np.arange(10_000, dtype=np.uint64)
+    assert len(set(katz.deal(context, words, 1000, 1000).tolist())) in (5, 6)
+    assert len(set(katz.deal(context, words, 1000, 6000).tolist())) == 1
+
+
+def test_packed_columns():
+    columns = [np.array(c, np.uint64) for c in ([], [0, 0], [1, 255], [65_536, 3], [1 << 63, 1 << 40])]
+    assert [c.tolist() for c in katz.unpack(katz.pack(*columns))] == [c.tolist() for c in columns]
+    for values in (np.zeros(9), np.arange(9.0), np.eye(1, 9, 4)[0]):
+        out = np.ones(9)
+        katz.add_sums(out, katz.pack_sums(values))
+        assert out.tolist() == (values + 1).tolist()
